@@ -113,8 +113,8 @@ def within_edits(a: Column, b: Column, most: int = MAX_EDITS) -> Column:
     steps = F.sequence(F.lit(0), F.length(a) - 1)
     last = F.aggregate(steps, first, move)["m"]
     d = F.length(b) - F.length(a)
-    hit = F.shiftright(F.get(last, F.lit(most)), (d + most).cast("int")).bitwiseAND(F.lit(1)) == 1
-    return F.when(F.length(a) == 0, F.length(b) <= most).when(F.abs(d) > most, False).otherwise(hit)
+    hit = F.call_function("shiftright", F.get(last, F.lit(most)), (d + most).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return F.when(F.least(F.length(a), F.length(b)) == 0, F.abs(d) <= most).when(F.abs(d) > most, False).otherwise(hit)
 
 
 def _letter_counts(line: Column) -> Column:
@@ -144,7 +144,7 @@ def _bitmap(keys: DataFrame, column: str) -> bytes:
 def _bit_of(bitmap: bytes, column: Column) -> Column:
     at = F.pmod(column, F.lit(FILTER_BITS))
     byte = F.conv(F.hex(F.substring(F.lit(bytearray(bitmap)), (at / 8).cast("int") + 1, 1)), 16, 10).cast("int")
-    return F.shiftright(byte, (at % 8).cast("int")) % 2 == 1
+    return F.call_function("shiftright", byte, (at % 8).cast("int")) % 2 == 1
 
 
 def near_lines(docs: DataFrame) -> tuple[Kept, Kept]:
