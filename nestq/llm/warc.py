@@ -296,4 +296,4 @@ def archive_pages(pages: DataFrame, folder: str | None = None) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = archive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"))
-    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "block_bytes", "target_uri")
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
