@@ -28,8 +28,13 @@ END_ID = 0
 SENTENCE_CUT, WORD_CUT = 8.0, 40.0
 #: The programme runs over about this many tokens at a time; what its last, open window holds goes on to the next run.
 BLOCK_TOKENS = 1 << 18
-#: Distinct pieces of text whose ids a worker remembers.
-REMEMBERED = 600_000
+#: Distinct pieces, and words, whose ids a worker remembers.
+REMEMBERED = 700_000
+#: Characters of texts that are encoded together.
+CHUNK_CHARS = 1 << 20
+PUNCTUATION = ".,!?;:"
+#: Shortest sequence that is left unpadded on purpose (a power of two).
+LEAST_UNPADDED = 64
 TOKENIZER = "byte_bpe_50k.json"
 #: Unicode's White_Space characters.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -50,8 +55,22 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+class _Grown:
+    """An array that grows."""
+
+    def __init__(self, dtype, first=()):
+        self.all, self.used = np.zeros(1 << 14, dtype), 0
+        self.add(list(first))
+
+    def add(self, values) -> None:
+        while len(self.all) < self.used + len(values):
+            self.all = np.concatenate([self.all, np.zeros_like(self.all)])
+        self.all[self.used : self.used + len(values)] = values
+        self.used += len(values)
+
+
 class PieceEncoder:
-    """Ids of whole texts. Equal pieces are encoded once and remembered, up to a bound."""
+    """Ids of whole texts. Equal pieces are encoded once and remembered, up to a bound, as are words without the punctuation behind them."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -59,46 +78,109 @@ class PieceEncoder:
 
         self.t = Tokenizer.from_file(path)
         self.t.encode_special_tokens = True
-        self.known: dict[str, tuple[bytes, int]] = {}
-
-    def learn(self, pieces: set[str]) -> None:
-        if len(self.known) + len(pieces) > REMEMBERED:
-            self.known.clear()
-        fresh = list(pieces)
-        for p, e in zip(fresh, self.t.encode_batch(fresh, add_special_tokens=False), strict=True):
-            ids = e.ids
-            self.known[p] = (np.array(ids, "<u4").tobytes(), len(ids) if not SENTENCE_END.search(p) else -len(ids))
+        self._forget()
+
+    def _forget(self) -> None:
+        """Words by number: where their ids begin in ``flat`` and how many they are. Pieces by number: their word, the punctuation
+        behind it (word 0, without ids, if none), and whether a sentence ends behind or (a line break) before them."""
+        self.word: dict[str, int] = {"": 0}
+        self.flat, self.begin, self.size = _Grown("<u4"), _Grown(np.int64, [0]), _Grown(np.int64, [0])
+        self.number: dict[str, int] = {}
+        self.body, self.tail = _Grown(np.int64), _Grown(np.int64)
+        self.ends, self.breaks = _Grown(bool), _Grown(bool)
+
+    def _learn(self, pieces: list[str]) -> None:
+        bodies = [p.rstrip(PUNCTUATION) for p in pieces]
+        # a letter or digit and the punctuation behind it never share a pre-token
+        bodies = [b if b and b[-1].isalnum() else p for p, b in zip(pieces, bodies, strict=True)]
+        tails = [p[len(b) :] for p, b in zip(pieces, bodies, strict=True)]
+        fresh = [w for w in dict.fromkeys(bodies + tails) if w not in self.word]
+        ids: list[int] = []
+        sizes: list[int] = []
+        for e in self.t.encode_batch(fresh, add_special_tokens=False):
+            own = e.ids
+            ids += own
+            sizes.append(len(own))
+        self.begin.add(np.cumsum([self.flat.used, *sizes])[:-1])
+        self.size.add(sizes)
+        self.flat.add(ids)
+        self.word.update(zip(fresh, range(len(self.word), len(self.word) + len(fresh)), strict=True))
+        self.body.add([self.word[b] for b in bodies])
+        self.tail.add([self.word[t] for t in tails])
+        self.ends.add([SENTENCE_END.search(p) is not None for p in pieces])
+        self.breaks.add(["\n" in p for p in pieces])
+        self.number.update(zip(pieces, range(len(self.number), len(self.number) + len(pieces)), strict=True))
 
     def __call__(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Per text: its ids, and the positions after which a sentence ends."""
+        if len(self.number) > REMEMBERED:
+            self._forget()
+        pieces: list[str] = []
+        stops = [0]
         for text in texts:
-            pieces = PIECES.findall(text)
-            try:
-                found = list(map(self.known.__getitem__, pieces))
-            except KeyError:
-                self.learn(set(pieces).difference(self.known))
-                if len(self.known) < len(set(pieces)):
-                    self.learn(set(pieces))
-                found = [self.known[p] for p in pieces]
-            size = np.fromiter((n for _, n in found), np.int64, len(found))
-            line = np.fromiter(("\n" in p for p in pieces), bool, len(found)) if "\n" in text else None
-            ends = np.cumsum(np.abs(size))
-            cut = ends[size < 0]
-            if line is not None:  # a piece that begins with a line break begins after an end
-                cut = np.union1d(cut, (ends - np.abs(size))[line])
-            yield np.frombuffer(b"".join([b for b, _ in found]), "<u4"), cut[cut > 0]
+            pieces += PIECES.findall(text)
+            stops.append(len(pieces))
+        number = self.number
+        if unknown := [p for p in dict.fromkeys(pieces) if p not in number]:
+            self._learn(unknown)
+        code = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
+        parts = np.stack([self.body.all[code], self.tail.all[code]], 1).ravel()
+        size = self.size.all[parts]
+        inner = np.concatenate([[0], np.cumsum(size)])
+        ids = self.flat.all[np.repeat(self.begin.all[parts] - inner[:-1], size) + np.arange(inner[-1])]
+        after = inner[::2]
+        cut = np.zeros(after[-1] + 1, bool)
+        cut[after[1:][self.ends.all[code]]] = True
+        cut[after[:-1][self.breaks.all[code]]] = True  # a piece that begins with a line break begins after an end
+        for lo, hi in zip(stops, stops[1:], strict=False):
+            a, b = after[lo], after[hi]
+            yield ids[a:b], np.flatnonzero(cut[a + 1 : b + 1]) + 1
+
+
+_ENCODERS: dict[str, PieceEncoder] = {}
+
+
+def encoder(path: str) -> PieceEncoder:
+    """The worker's own encoder; what it remembers serves all tasks of the worker."""
+    if path not in _ENCODERS:
+        _ENCODERS[path] = PieceEncoder(path)
+    return _ENCODERS[path]
+
+
+def in_chunks(texts: list[str], most: int = CHUNK_CHARS) -> Iterator[list[str]]:
+    chunk, held = [], 0
+    for t in texts:
+        chunk.append(t)
+        held += len(t)
+        if held >= most:
+            yield chunk
+            chunk, held = [], 0
+    if chunk:
+        yield chunk
+
+
+def unpadded_sources(at: np.ndarray, window: int) -> dict[int, list[int]]:
+    """Per cut, the earlier cuts that lie a power of two before it."""
+    out: dict[int, list[int]] = {}
+    power = window
+    while power >= min(LEAST_UNPADDED, window):
+        k = np.searchsorted(at, at - power)
+        hit = np.flatnonzero(at[np.minimum(k, len(at) - 1)] == at - power)
+        for j, i in zip(hit.tolist(), k[hit].tolist(), strict=True):
+            out.setdefault(j, []).append(i)
+        power //= 2
+    return out
 
 
 def best_cuts(ends: list[int], costs: list[float], window: int = WINDOW, open_end: bool = False) -> list[int]:
     """The cheapest chain of cuts from 0 to the last of ``ends`` (ascending), as positions.
 
     Two neighbouring cuts lie at most ``window`` apart; ``costs[i]`` is what the cut at ``ends[i]``
-    costs, and a sequence of n tokens pays ``window - n`` unless n is a power of two. With ``open_end``
+    costs, and a sequence of n tokens pays ``window - n`` unless n is a power of two (of LEAST_UNPADDED or more). With ``open_end``
     the last sequence is not padded. ``ends`` may lie no further apart than ``window``.
     """
-    powers = [1 << k for k in range(window.bit_length()) if 1 << k <= window]
     best, back, at = [0.0], [0], [0, *ends]
-    index = {0: 0}
+    exact = unpadded_sources(np.array(at), window)
     queue: deque[int] = deque([0])
     last = len(ends)
     for j in range(1, last + 1):
@@ -110,14 +192,12 @@ def best_cuts(ends: list[int], costs: list[float], window: int = WINDOW, open_en
         if open_end and j == last:
             pay, source = _least(best, at, j, pos - window)
         else:
-            for p in powers:
-                k = index.get(pos - p)
-                if k is not None and best[k] < pay:
+            for k in exact.get(j, ()):
+                if best[k] < pay:
                     pay, source = best[k], k
         pay += costs[j - 1]
         best.append(pay)
         back.append(source)
-        index[pos] = j
         value = pay + pos
         while queue and best[queue[-1]] + at[queue[-1]] >= value:
             queue.pop()
@@ -215,7 +295,7 @@ def pack(documents: DataFrame, tokenizer: str = TOKENIZER, window: int = WINDOW,
     ready(documents.sparkSession)
 
     def run(batches):
-        encode = PieceEncoder(tokenizer_path(tokenizer))
+        encode = encoder(tokenizer_path(tokenizer))
         packer = Packer(TaskContext.get().partitionId() << 40, window)
         rows: list[tuple] = []
 
@@ -224,7 +304,8 @@ def pack(documents: DataFrame, tokenizer: str = TOKENIZER, window: int = WINDOW,
 
         for b in batches:
             texts = [x or "" for x in b.column(1).to_pylist()]
-            for doc_id, (ids, ends) in zip(b.column(0).to_pylist(), encode(texts), strict=True):
+            encoded = (x for chunk in in_chunks(texts) for x in encode(chunk))
+            for doc_id, (ids, ends) in zip(b.column(0).to_pylist(), encoded, strict=True):
                 rows += packer.add(doc_id, np.append(ids, np.uint32(END_ID)).astype("<u4"), ends)
                 if len(rows) >= 10_000:
                     yield out()
