@@ -1,0 +1 @@
+"""Nested queries over DataFrames: GraphQL in, Spark plans out."""
