@@ -152,16 +152,15 @@ class Engine:
         inner = planner.fields(s.selection, e.name)
         if form == "page":
             return self._page(e, s, planner)
-        rows, p = planner.page(e, s, inner)
+        rows, _ = planner.page(e, s, inner)
         if form == "one":
             found = rows.limit(1).collect()
             return plain(found[0]["__row"]) if found else None
-        return self._collected(rows, p)
+        return self._collected(rows)
 
     @staticmethod
-    def _collected(rows: DataFrame, p: ordering.Paging) -> list[Any]:
-        found = [plain(r["__row"]) for r in rows.collect()]
-        return found[::-1] if p.backward else found
+    def _collected(rows: DataFrame) -> list[Any]:
+        return [plain(r["__row"]) for r in rows.collect()]
 
     def _page(self, e: Entity, s: Field, planner: Planner) -> dict[str, Any]:
         out: dict[str, Any] = {}
@@ -177,8 +176,8 @@ class Engine:
             rows, p = planner.page(e, s, inner, extra=1 if more else 0)
             found = rows.collect()
             over = p.limit is not None and len(found) > p.limit
-            found = found[: p.limit] if over else found
-            found = found[::-1] if p.backward else found
+            if over:
+                found = found[1:] if p.backward else found[:-1]
             page = (found, p, over)
         for f in selected:
             if f.name == "__typename":
