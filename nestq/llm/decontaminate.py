@@ -23,8 +23,10 @@ from nestq.llm.common import WordHashes, mixed, odd_constants, ready
 MASKS = ("11011011", "1110111011", "111101111", "1111101111", "1100110011", "1111001111")
 #: An overlap counts from this many equal words on, or from this share of a shorter item.
 MIN_WORDS, MIN_SHARE = 13, 0.75
-#: A substituted word costs as much as this many equal words bring.
-SUBSTITUTION = 2
+#: A substituted word costs as much as this many equal words bring; each price finds a stretch, the lower one a longer.
+SUBSTITUTION = (1, 2)
+#: Share of equal words in a stretch.
+MIN_EQUAL = 0.75
 #: Items of fewer words than this never match; items shorter than a mask match as a whole.
 LEAST_WORDS = 5
 BLOCK_WORDS = 400_000
@@ -110,7 +112,7 @@ class Block:
         return tuple(map(np.concatenate, (at, item, pos)))
 
 
-def best_stretch(equal: np.ndarray, substitution: int = SUBSTITUTION) -> tuple[int, int, int]:
+def best_stretch(equal: np.ndarray, substitution: int) -> tuple[int, int, int]:
     """(begin, end, equal words) of the stretch with the highest score: 1 for an equal word, less ``substitution`` for another."""
     score = np.where(equal, 1, -substitution)
     total = np.concatenate([[0], np.cumsum(score)])
@@ -126,9 +128,12 @@ def overlaps(block: Block, h: np.ndarray, at: np.ndarray, item: np.ndarray, pos:
     for k, d in sorted(set(zip(item.tolist(), (at - pos).tolist(), strict=True))):
         other = block.items[k][1]
         lo, hi = max(0, -d), min(len(other), len(h) - d)
-        begin, end, same = best_stretch(h[lo + d : hi + d] == other[lo:hi])
-        if same >= min(MIN_WORDS, int(np.ceil(MIN_SHARE * len(other)))) and same > best.get(k, (0, 0))[1]:
-            best[k] = (k, same, end - begin, lo + d + begin, lo + begin)
+        equal = h[lo + d : hi + d] == other[lo:hi]
+        for price in SUBSTITUTION:
+            begin, end, same = best_stretch(equal, price)
+            enough = same >= min(MIN_WORDS, int(np.ceil(MIN_SHARE * len(other)))) and same >= MIN_EQUAL * (end - begin)
+            if enough and same > best.get(k, (0, 0))[1]:
+                best[k] = (k, same, end - begin, lo + d + begin, lo + begin)
     return list(best.values())
 
 
@@ -182,8 +187,7 @@ def find_overlaps(documents: DataFrame, benchmark: DataFrame, id_column: str = "
     """A row (doc_id, item_id, equal_words, words, doc_word, item_word) per document and benchmark item that overlap.
 
     Texts are compared word by word, without case and punctuation. An overlap has at least
-    MIN_WORDS equal words, or MIN_SHARE of an item's words, and fewer than one substitution in
-    1 + SUBSTITUTION words; doc_word and item_word say at which word it begins. Null or empty texts on either side and items of
+    MIN_WORDS equal words, or MIN_SHARE of an item's words, and a share of MIN_EQUAL equal words; doc_word and item_word say at which word it begins. Null or empty texts on either side and items of
     fewer than LEAST_WORDS words have none. Repeated rows give their overlaps each; null ids are
     carried along; further columns are ignored; empty tables give an empty result.
     """

@@ -93,6 +93,10 @@ def link_parts(spans: DataFrame, scope: int = SCOPE) -> DataFrame:
     return left.join(both, same & near & apart & complement).select(*[F.col(f"x.{c}").alias(c) for c in ("k1", "k2", "rank", "start", "end")]).distinct()
 
 
+def _has_rank(rank: int):
+    return lambda span: span["rank"] == rank
+
+
 def scan_secrets(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """A row per document: doc_id, n_assign, n_access, n_hex, base_sha256, spans.
 
@@ -113,7 +117,7 @@ def scan_secrets(documents: DataFrame, id_column: str = "doc_id", text_column: s
     lists = told.groupBy("k1", "k2").agg(F.array_sort(F.collect_list(F.when(base, one))).alias("base"), F.array_sort(F.collect_list(one)).alias("all"))
     names = F.array(*[F.lit(k.name) for k in KINDS])
     written = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["rank"] + 1), s["start"].cast("string"), s["end"].cast("string"))))
-    counted = [F.size(F.filter("base", lambda s, r=r: s["rank"] == r)).cast("long").alias(f"n_{KINDS[r].name}") for r in range(3)]
+    counted = [F.size(F.filter("base", _has_rank(r))).cast("long").alias(f"n_{KINDS[r].name}") for r in range(3)]
     found = lists.select("k1", "k2", *counted, written(F.col("base")).alias("base"), written(F.col("all")).alias("spans"))
     out = named.select("doc_id", "k1", "k2").join(found, ["k1", "k2"], "left")
     return out.select(
