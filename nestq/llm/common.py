@@ -12,14 +12,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: What a worker holds of its input at a time: rows, and bytes where Spark can tell.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
 REPO_ROOT = str(Path(__file__).resolve().parents[2])
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from the place the driver has it.
+    """Let Python workers import this package from the place the driver has it, and hand them texts in small batches.
 
     A cluster that ships the package with ``--py-files`` is not affected: the path is only appended.
     """
+    for name, value in BATCHES.items():
+        spark.conf.set(name, value)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if REPO_ROOT not in paths:
@@ -48,11 +52,16 @@ def forget(spark: SparkSession, path: str) -> None:
 
 
 class Kept:
-    """A DataFrame read back from a table in the shared folder, and that table's path."""
+    """A DataFrame read back from a table in the shared folder, and that table's path.
+
+    Once it is written, the shuffle files that led to it are of no more use; Spark deletes them when
+    the driver's garbage is collected, so that is asked for.
+    """
 
     def __init__(self, spark: SparkSession, df: DataFrame, label: str):
         self.spark, self.path = spark, scratch(spark, label)
         df.write.parquet(self.path)
+        spark.sparkContext._jvm.System.gc()
         self.df = spark.read.schema(df.schema).parquet(self.path)
 
     def forget(self) -> None:
@@ -117,7 +126,7 @@ def components(nodes_edges: DataFrame, a: str = "a", b: str = "b") -> Kept:
 class WordHashes(dict):
     """64-bit hashes of words (bytes), remembered up to a bound."""
 
-    BOUND = 1_000_000
+    BOUND = 200_000
 
     def __missing__(self, word: bytes) -> int:
         if len(self) >= self.BOUND:

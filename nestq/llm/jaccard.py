@@ -66,22 +66,22 @@ def _batches(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names)
 
 
-def _described(docs: DataFrame) -> Kept:
+def _described(docs: DataFrame, n_cells: int = CELLS) -> Kept:
     """One pass over all texts. Rows of kind 0: (doc_id, n, fingerprint of the set); of kind 1: a slice of the task's share of the sketch."""
     names = ["kind", "doc_id", "n", "fp", "slice", "cells"]
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
 
     def run(batches):
-        known, cells = WordHashes(), np.zeros(CELLS, np.uint32)
+        known, cells = WordHashes(), np.zeros(n_cells, np.uint32)
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = shingles(text, known)
                 fp = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
                 rows.append((0, doc_id, len(s), fp, None, None))
-                np.add.at(cells, (s & np.uint64(CELLS - 1)).astype(np.int64), 1)
+                np.add.at(cells, (s & np.uint64(n_cells - 1)).astype(np.int64), 1)
             yield _batches(rows, kinds, names)
-        step = CELLS // SLICES
+        step = n_cells // SLICES
         rows = []
         for k in range(SLICES):
             part = cells[k * step : (k + 1) * step]
@@ -93,7 +93,7 @@ def _described(docs: DataFrame) -> Kept:
     return Kept(docs.sparkSession, docs.select("doc_id", "text").mapInArrow(run, schema), "described")
 
 
-def _sketch(described: DataFrame) -> np.ndarray:
+def _sketch(described: DataFrame, n_cells: int = CELLS) -> np.ndarray:
     """The sum of all shares: a table of fixed size. Shares are summed slice by slice in two levels, in a stream."""
 
     def add(batches):
@@ -107,7 +107,7 @@ def _sketch(described: DataFrame) -> np.ndarray:
 
     parts = described.where("kind = 1").select("slice", "cells", F.pmod(F.xxhash64("cells"), F.lit(64)).alias("share"))
     once = parts.repartition("slice", "share").select("slice", "cells").mapInArrow(add, "slice int, cells binary")
-    step, out = CELLS // SLICES, np.zeros(CELLS, np.uint32)
+    step, out = n_cells // SLICES, np.zeros(n_cells, np.uint32)
     for r in once.repartition("slice").mapInArrow(add, "slice int, cells binary").toLocalIterator():
         # a slice comes once: its partition is summed in one task
         out[r["slice"] * step : (r["slice"] + 1) * step] = np.frombuffer(zlib.decompress(r["cells"]), "<u4")
@@ -121,7 +121,7 @@ def prefix(tokens: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, int, np.
     beyond the l - 1 least frequent ones lead to, a 1/l share of which is taken to match l times.
     """
     n = len(tokens)
-    count = sketch[(tokens & np.uint64(CELLS - 1)).astype(np.int64)]
+    count = sketch[(tokens & np.uint64(len(sketch) - 1)).astype(np.int64)]
     base = n - least_overlap(n) + 1
     most = min(MOST_MATCHES, least_overlap(n))
     reach = min(n, base + most - 1)
@@ -140,7 +140,7 @@ def prefix(tokens: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, int, np.
     return tokens[order], pick, count[order]
 
 
-def _index(docs: DataFrame, sketch, bitmap) -> DataFrame:
+def _index(docs: DataFrame, sketch, bitmap, hot: int) -> DataFrame:
     """Postings (token, salt, salts, rep, n, pos, l) of the prefixes of ``docs`` (rep, text, h) that the bitmap does not know."""
     names = ["token", "salt", "salts", "rep", "n", "pos", "l"]
 
@@ -161,7 +161,7 @@ def _index(docs: DataFrame, sketch, bitmap) -> DataFrame:
                     continue
                 own, l, count = prefix(s, cells)
                 k = len(own)
-                salts = count.astype(np.int64) // HOT + 1
+                salts = count.astype(np.int64) // hot + 1
                 mine = xxhash.xxh3_64_intdigest(str(rep).encode()) >> 1
                 rows.append((own.view(np.int64), (mine % salts).astype(np.int32), salts.astype(np.int32), np.full(k, rep, np.int64), np.full(k, len(s), np.int32), np.arange(k, dtype=np.int32), np.full(k, l, np.int32)))
                 held += k
@@ -234,7 +234,7 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def similar_documents(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def similar_documents(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text", n_cells: int = CELLS, hot: int = HOT) -> DataFrame:
     """A row per document: doc_id, n_shingles, component_id (the smallest id that links reach, its own included).
 
     Two documents link when their sets of distinct 5-word shingles have a Jaccard similarity of at
@@ -244,15 +244,15 @@ def similar_documents(documents: DataFrame, id_column: str = "doc_id", text_colu
     """
     spark = ready(documents.sparkSession)
     docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    described = _described(docs)
+    described = _described(docs, n_cells)
     rows = described.df.where("kind = 0").select("doc_id", "n", "fp")
     whole = rows.where("doc_id is not null and fp is not null")
     classes = Kept(spark, whole.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1"), "classes")
     copies = Kept(spark, whole.join(classes.df, "fp").where("doc_id <> rep").select("doc_id", "rep"), "copies")
 
-    sketch = spark.sparkContext.broadcast(_sketch(described.df))
+    sketch = spark.sparkContext.broadcast(_sketch(described.df, n_cells))
     texts = docs.where("doc_id is not null").toDF("rep", "text")
-    postings = _postings(texts, copies.df.select(F.col("doc_id").alias("rep")), sketch)
+    postings = _postings(texts, copies.df.select(F.col("doc_id").alias("rep")), sketch, hot)
     links = _links(texts, postings)
 
     group = components(links.union(copies.df.toDF("a", "b")))
@@ -260,7 +260,7 @@ def similar_documents(documents: DataFrame, id_column: str = "doc_id", text_colu
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _postings(texts: DataFrame, copies: DataFrame, sketch) -> Kept:
+def _postings(texts: DataFrame, copies: DataFrame, sketch, hot: int) -> Kept:
     """Index of all texts but copies: what can meet another posting, with the pivot of its token.
 
     Texts whose id the bitmap does not know are no copies; the others, copies and a few more, are
@@ -271,7 +271,7 @@ def _postings(texts: DataFrame, copies: DataFrame, sketch) -> Kept:
     hashed = texts.withColumn("h", F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS)))
     maybe = hashed.mapInArrow(_bitmap_hits(bitmap), "rep long, text string, h long")
     unsure = maybe.join(copies, "rep", "left_anti").withColumn("h", F.lit(-1).cast("long"))
-    index = _index(hashed.unionByName(unsure), sketch, bitmap)
+    index = _index(hashed.unionByName(unsure), sketch, bitmap, hot)
     same = Window.partitionBy("token", "salt")
     pivot = F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "n", "pos", "l"))
     met = index.withColumn("size", F.count(F.lit(1)).over(same)).withColumn("p", pivot.over(same))
