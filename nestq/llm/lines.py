@@ -18,8 +18,9 @@ from nestq.llm.common import Kept, components, ready
 MAX_EDITS = 2
 #: Lines under this many characters stay as they are: short ones recur by chance.
 MIN_CHARS = 30
-#: Letters that are counted to turn down pairs before verification.
-COUNTED = " etaonirs"
+#: Letters that are counted to turn down pairs before verification, in groups of eight.
+COUNTED = (" etaonir", "hdslubgw")
+PAIRS_A_TASK = 20_000
 #: Bits of the filter through which the texts of candidates are fetched.
 FILTER_BITS = 1 << 22
 
@@ -36,98 +37,132 @@ def _lines(docs: DataFrame) -> DataFrame:
     return keyed.select("*", h1.alias("h1"), h2.alias("h2"))
 
 
-def _begin(n: Column, i: int) -> Column:
-    """Where segment i of a line of n characters begins (from 0): all are n / (MAX_EDITS + 1) long, the last ones a character longer."""
-    parts = MAX_EDITS + 1
-    size = F.floor(n / parts).cast("int")
-    longer = F.greatest(F.lit(0), F.lit(i) - (F.lit(parts) - (n - size * parts)))
-    return (size * i + longer).cast("int")
-
+def _keys(line: Column, specs: list[tuple[int, int, int]]) -> Column:
+    """Array of keys: for each (less, i, move), the hash of m = n - less, of i, and of the text that lies ``move`` behind the place of segment i of
+    a line of m characters. A line's segments are m / (MAX_EDITS + 1) long, the last m % (MAX_EDITS + 1) of them a character longer.
 
-def _segment(n: Column, i: int) -> tuple[Column, Column]:
-    """(begin, length)"""
-    begin = _begin(n, i)
-    return begin, (n if i == MAX_EDITS else _begin(n, i + 1)) - begin
+    The specs are data to a lambda: as expressions of their own they would make a method too large to be compiled.
+    """
+    parts = MAX_EDITS + 1
+    table = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("less", "i", "move"), s, strict=True)]) for s in specs])
+    measured = F.transform(table, lambda s: F.struct(s["i"].alias("i"), s["move"].alias("move"), (F.length(line) - s["less"]).alias("m")))
+    sized = F.transform(measured, lambda s: F.struct(s["i"].alias("i"), s["m"].alias("m"), s["move"].alias("move"), F.floor(s["m"] / parts).cast("int").alias("size"), (parts - s["m"] % parts).alias("longer")))
 
+    def key(s: Column) -> Column:
+        begin = s["size"] * s["i"] + F.greatest(F.lit(0), s["i"] - s["longer"]) + s["move"]
+        size = s["size"] + F.when(s["i"] >= s["longer"], 1).otherwise(0)
+        return F.when((begin >= 0) & (begin + size <= F.length(line)), F.xxhash64(s["m"], s["i"], F.substring(line, begin + 1, size)))
 
-def _key(n: Column, i: int, text: Column) -> Column:
-    return F.xxhash64(n, F.lit(i), text)
+    return F.array_compact(F.transform(sized, key))
 
 
-def segment_keys(line: Column, n: Column) -> list[Column]:
-    """Keys of a line's own segments: its length, the segment's number and text."""
-    return [_key(n, i, F.substring(line, begin + 1, size)) for i in range(MAX_EDITS + 1) for begin, size in [_segment(n, i)]]
+def segment_keys(line: Column) -> Column:
+    """Keys of a line's own segments."""
+    return _keys(line, [(0, i, 0) for i in range(MAX_EDITS + 1)])
 
 
-def probe_keys(line: Column, n: Column) -> list[Column]:
-    """Keys that a line of n characters looks up among lines as long or up to MAX_EDITS shorter.
+def probe_keys(line: Column) -> Column:
+    """Keys that a line looks up among lines as long or up to MAX_EDITS characters shorter, besides its own.
 
     If i edits at most lie before segment i and MAX_EDITS - i at most behind it, the
     segment has moved by at most i as seen from the left, and by at most MAX_EDITS - i from the difference in length as seen from the right.
+    Between lines of one length a move to the left is one to the right for the other line, so only the latter are looked up.
     """
-    out = []
+    specs = []
     for less in range(MAX_EDITS + 1):
         for i in range(MAX_EDITS + 1):
-            m = n - less
-            begin, size = _segment(m, i)
-            for move in range(max(-i, less - (MAX_EDITS - i)), min(i, less + MAX_EDITS - i) + 1):
-                at = begin + move
-                inside = (at >= 0) & (at + size <= n)
-                out.append(F.when(inside, _key(m, i, F.substring(line, at + 1, size))))
-    return out
+            moves = range(max(-i, less - (MAX_EDITS - i)), min(i, less + MAX_EDITS - i) + 1)
+            specs += [(less, i, move) for move in moves if less or move > 0]
+    return _keys(line, specs)
+
+
+def _common_prefix(a: Column, b: Column) -> Column:
+    """Characters (up to 4095) that two strings begin with in common, by binary search."""
+    most = F.least(F.length(a), F.length(b))
+    steps = F.array(*[F.lit(1 << k) for k in reversed(range(12))])
+
+    def longer(p: Column, step: Column) -> Column:
+        same = F.substring(a, p + 1, step) == F.substring(b, p + 1, step)
+        return F.when((p + step <= most) & same, p + step).otherwise(p)
+
+    return F.aggregate(steps, F.lit(0), longer)
 
 
-def within_edits(a: Column, b: Column, most: int = MAX_EDITS) -> Column:
-    """Whether the edit distance of two strings is at most ``most``: bit-parallel over the diagonals of the band.
+def _band(a: Column, b: Column, most: int) -> Column:
+    """The masks r0 .. r<most> after all characters of ``a``: bit ``d + most`` of rk says that ``a`` becomes the first ``len(a) + d`` characters of ``b`` with k edits or fewer.
 
-    Mask k has bit ``d + most`` set when the characters of ``a`` so far become the first
-    ``d`` more (or fewer) characters of ``b`` with k edits or fewer.
+    A step moves all diagonals at once: along equal characters, by a substitution on the diagonal, by a character left out to the diagonal below, and, within
+    a step, by one put in to the diagonal above. Once all masks are empty the remaining characters are passed over.
     """
     width = 2 * most + 1
     full = (1 << width) - 1
-    chars_a, chars_b = F.split(a, ""), F.split(b, "")
+    names = [f"r{k}" for k in range(most + 1)]
 
-    def closed(masks: list[Column]) -> Column:
-        """Masks in which k edits also reach what k - 1 edits and one more character of b reach."""
+    def closed(masks: list[Column]) -> list[Column]:
         out = [masks[0]]
         for m in masks[1:]:
             out.append(m.bitwiseOR(F.shiftleft(out[-1], 1)).bitwiseAND(F.lit(full)))
-        return F.array(*out)
+        return out
 
-    start = closed([F.lit(1 << most)] + [F.lit(0)] * most)
+    def state(chars_a: Column, chars_b: Column, masks: list[Column]) -> Column:
+        return F.struct(chars_a.alias("a"), chars_b.alias("b"), *[m.alias(n) for m, n in zip(masks, names, strict=True)])
 
-    def move(state: Column, i: Column) -> Column:
-        c = F.get(state["a"], i)
+    def move(s: Column, i: Column) -> Column:
+        c = F.get(s["a"], i)
         equal = F.lit(0)
         for d in range(-most, most + 1):
-            at = i + d
-            same = F.coalesce(F.when(at >= 0, F.get(state["b"], at) == c), F.lit(False))
+            same = F.coalesce(F.get(s["b"], i + d) == c, F.lit(False))
             equal = equal.bitwiseOR(F.when(same, 1 << (d + most)).otherwise(0))
-        old = [F.get(state["m"], F.lit(k)) for k in range(most + 1)]
+        # the equality mask is bound once
+        bound = F.transform(F.array(equal), lambda e: F.struct(*[m.alias(n) for m, n in zip(_stepped([s[n] for n in names], e), names, strict=True)]))
+        new = F.get(bound, F.lit(0))
+        return F.when(s[names[-1]] == 0, s).otherwise(state(s["a"], s["b"], [new[n] for n in names]))
+
+    def _stepped(old: list[Column], equal: Column) -> list[Column]:
         new = [old[0].bitwiseAND(equal)]
         for k in range(1, most + 1):
             new.append(old[k].bitwiseAND(equal).bitwiseOR(old[k - 1]).bitwiseOR(F.shiftright(old[k - 1], 1)))
-        return F.struct(state["a"].alias("a"), state["b"].alias("b"), closed(new).alias("m"))
+        return closed(new)
+
+    first = state(F.split(a, ""), F.split(b, ""), closed([F.lit(1 << most)] + [F.lit(0)] * most))
+    return F.aggregate(F.sequence(F.lit(0), F.length(a) - 1), first, move)
+
+
+#: Characters after the common beginning over which a first look goes.
+LOOK = 16
+
+
+def still_possible(a: Column, b: Column, begin: Column, most: int = MAX_EDITS) -> Column:
+    """Whether any diagonal of the band is left after LOOK characters behind ``begin``; true where ``a`` ends before."""
+    left = F.length(a) - begin
+    look = _band(F.substring(a, begin + 1, F.lit(LOOK)), F.substring(b, begin + 1, F.lit(LOOK + most)), most)
+    return F.when(left <= LOOK, True).otherwise(look[f"r{most}"] != 0)
+
 
-    first = F.struct(chars_a.alias("a"), chars_b.alias("b"), start.alias("m"))
-    steps = F.sequence(F.lit(0), F.length(a) - 1)
-    last = F.aggregate(steps, first, move)["m"]
+def within_edits(a: Column, b: Column, most: int = MAX_EDITS, begin: Column | None = None) -> Column:
+    """Whether the edit distance of two strings is at most ``most``: banded and bit-parallel, from where the strings begin to differ (or ``begin``)."""
+    begin = F.lit(0) if begin is None else begin
+    x, y = F.substring(a, begin + 1, F.length(a)), F.substring(b, begin + 1, F.length(b))
     d = F.length(b) - F.length(a)
-    hit = F.call_function("shiftright", F.get(last, F.lit(most)), (d + most).cast("int")).bitwiseAND(F.lit(1)) == 1
-    return F.when(F.least(F.length(a), F.length(b)) == 0, F.abs(d) <= most).when(F.abs(d) > most, False).otherwise(hit)
+    last = _band(x, y, most)[f"r{most}"]
+    hit = F.call_function("shiftright", last, (d + most).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return F.when(F.least(F.length(x), F.length(y)) == 0, F.abs(d) <= most).when(F.abs(d) > most, False).otherwise(hit)
 
 
 def _letter_counts(line: Column) -> Column:
-    """Array of how often each counted letter occurs."""
-    n = F.length(line)
-    return F.array(*[(n - F.length(F.translate(line, c, ""))).cast("int") for c in COUNTED])
+    """How often each counted letter occurs, up to 127, a byte each; a number per group of letters."""
+    count = lambda c: F.least(F.length(line) - F.length(F.replace(line, c)), F.lit(127)).cast("long")
+    letters = F.array(*[F.array(*[F.struct(F.lit(c).alias("c"), F.lit(1 << 8 * k).cast("long").alias("unit")) for k, c in enumerate(g)]) for g in COUNTED])
+    return F.transform(letters, lambda g: F.aggregate(g, F.lit(0).cast("long"), lambda s, x: s + count(x["c"]) * x["unit"]))
 
 
 def _counts_fit(x: str, y: str) -> Column:
     """Whether the letter counts leave MAX_EDITS edits possible: an edit changes them by two at most."""
     total = F.lit(0)
-    for k in range(len(COUNTED)):
-        total = total + F.abs(F.col(f"{x}.counts")[k] - F.col(f"{y}.counts")[k])
+    of = lambda side, g, k: F.shiftright(F.col(f"{side}.counts{g}"), 8 * k).bitwiseAND(F.lit(127))
+    for g, letters in enumerate(COUNTED):
+        for k in range(len(letters)):
+            total = total + F.abs(of(x, g, k) - of(y, g, k))
     return total <= 2 * MAX_EDITS
 
 
@@ -151,27 +186,33 @@ def near_lines(docs: DataFrame) -> tuple[Kept, Kept]:
     """(distinct lines: h1, h2, key, n, first occurrence and count; verified pairs of their keys)."""
     spark = docs.sparkSession
     lines = _lines(docs)
-    n = F.length("line")
-    made = lines.select("h1", "h2", F.struct("doc_id", "at", "d1", "d2").alias("place"), F.struct(n.alias("n"), F.array(*segment_keys(F.col("line"), n)).alias("own"), F.array(*probe_keys(F.col("line"), n)).alias("probes"), _letter_counts(F.col("line")).alias("counts")).alias("x"))
+    line = F.col("line")
+    keys = F.struct(_letter_counts(line).alias("counts"), segment_keys(line).alias("own"), probe_keys(line).alias("probes"))
+    made = lines.select("h1", "h2", F.struct("doc_id", "at", "d1", "d2").alias("place"), keys.alias("x"))
     grouped = made.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("size"), F.first("x").alias("x"))
     distinct = Kept(spark, grouped.select("h1", "h2", F.col("h1").alias("key"), "first", "size", "x.*"), "lines")
 
-    base = distinct.df.select("key", "n", "counts", "own", "probes")
-    own = base.select("key", "n", "counts", F.explode("own").alias("k"))
-    probes = base.select("key", "n", "counts", F.explode(F.array_distinct(F.array_compact("probes"))).alias("k"))
-    # only keys that lines of different hash share can link anything
-    x, y = probes.alias("x"), own.alias("y")
-    order = (F.col("x.n") > F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.key") > F.col("y.key")))
-    met = x.join(y, (F.col("x.k") == F.col("y.k")) & order & _counts_fit("x", "y"))
-    pairs = Kept(spark, met.select(F.col("x.key").alias("a"), F.col("y.key").alias("b")).distinct(), "line_pairs")
+    counts = [F.col("counts")[g].alias(f"counts{g}") for g in range(len(COUNTED))]
+    own = distinct.df.select("key", *counts, F.explode("own").alias("k")).alias("y")
+    probes = distinct.df.select("key", *counts, F.explode("probes").alias("k")).alias("x")
+    apart = (F.col("x.k") == F.col("y.k")) & _counts_fit("x", "y")
+    ends = [F.col("x.key").alias("a"), F.col("y.key").alias("b")]
+    moved = probes.join(own, apart & (F.col("x.key") != F.col("y.key"))).select(*ends)
+    still = own.select("*").alias("x").join(own, apart & (F.col("x.key") > F.col("y.key"))).select(*ends)
+    met = moved.union(still).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    pairs = Kept(spark, met.distinct(), "line_pairs")
 
     wanted = Kept(spark, pairs.df.select(F.col("a").alias("key")).union(pairs.df.select("b")).distinct().join(distinct.df.select("key", "first.*"), "key"), "wanted_lines")
     bitmap = _bitmap(wanted.df, "d1")
     of = docs.where(_bit_of(bitmap, F.col("d1")))
     texts = _lines(of).select(F.col("h1").alias("key"), "d1", "d2", "at", "line").join(wanted.df.select("key", "d1", "d2", "at"), ["key", "d1", "d2", "at"])
     texts = Kept(spark, texts.groupBy("key").agg(F.first("line").alias("line")), "line_texts")
-    both = pairs.df.join(texts.df.toDF("a", "la"), "a").join(texts.df.toDF("b", "lb"), "b")
-    links = Kept(spark, both.where(within_edits(F.col("la"), F.col("lb"))).select("a", "b"), "line_links")
+    # a pair costs far more than its bytes tell, so pairs are dealt by number
+    dealt = pairs.df.repartition(max(1, min(100_000, pairs.df.count() // PAIRS_A_TASK)), "a", "b")
+    both = dealt.join(texts.df.toDF("a", "la"), "a").join(texts.df.toDF("b", "lb"), "b")
+    la, lb = F.col("la"), F.col("lb")
+    near = both.withColumn("begin", _common_prefix(la, lb)).where(still_possible(la, lb, F.col("begin")))
+    links = Kept(spark, near.where(within_edits(la, lb, MAX_EDITS, F.col("begin"))).select("a", "b"), "line_links")
     for k in (pairs, wanted, texts):
         k.forget()
     return distinct, links
