@@ -37,43 +37,46 @@ def _lines(docs: DataFrame) -> DataFrame:
     return keyed.select("*", h1.alias("h1"), h2.alias("h2"))
 
 
-def _keys(line: Column, specs: list[tuple[int, int, int]]) -> Column:
-    """Array of keys: for each (less, i, move), the hash of m = n - less, of i, and of the text that lies ``move`` behind the place of segment i of
-    a line of m characters. A line's segments are m / (MAX_EDITS + 1) long, the last m % (MAX_EDITS + 1) of them a character longer.
+def measured(lines: DataFrame) -> DataFrame:
+    """``lines`` (line, ...) with n, its length, and for lines of n - less characters where each segment begins (b_less_i) and its length (l_less_i).
 
-    The specs are data to a lambda: as expressions of their own they would make a method too large to be compiled.
+    Segments are m / parts long, the last m % parts of them a character longer. These columns are made once, below the keys: as
+    expressions within them they would make a method too large to be compiled.
     """
     parts = MAX_EDITS + 1
-    table = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(("less", "i", "move"), s, strict=True)]) for s in specs])
-    measured = F.transform(table, lambda s: F.struct(s["i"].alias("i"), s["move"].alias("move"), (F.length(line) - s["less"]).alias("m")))
-    sized = F.transform(measured, lambda s: F.struct(s["i"].alias("i"), s["m"].alias("m"), s["move"].alias("move"), F.floor(s["m"] / parts).cast("int").alias("size"), (parts - s["m"] % parts).alias("longer")))
+    out = lines.withColumn("n", F.length("line"))
+    n = F.col("n")
+    out = out.withColumns({f"s_{less}": F.floor((n - less) / parts).cast("int") for less in range(parts)} | {f"m_{less}": n - less for less in range(parts)})
+    over = lambda less: F.pmod(F.col(f"m_{less}"), F.lit(parts))
+    begins = {f"b_{less}_{i}": F.col(f"s_{less}") * i + F.greatest(F.lit(0), over(less) + (i - parts)) for less in range(parts) for i in range(parts)}
+    lengths = {f"l_{less}_{i}": F.col(f"s_{less}") + F.when(over(less) + i >= parts, 1).otherwise(0) for less in range(parts) for i in range(parts)}
+    return out.withColumns(begins | lengths)
 
-    def key(s: Column) -> Column:
-        begin = s["size"] * s["i"] + F.greatest(F.lit(0), s["i"] - s["longer"]) + s["move"]
-        size = s["size"] + F.when(s["i"] >= s["longer"], 1).otherwise(0)
-        return F.when((begin >= 0) & (begin + size <= F.length(line)), F.xxhash64(s["m"], s["i"], F.substring(line, begin + 1, size)))
 
-    return F.array_compact(F.transform(sized, key))
+def _key(less: int, i: int, move: int) -> Column:
+    begin, size = F.col(f"b_{less}_{i}") + move, F.col(f"l_{less}_{i}")
+    key = F.xxhash64(F.col(f"m_{less}"), F.lit(i), F.substring(F.col("line"), begin + 1, size))
+    return key if not less and not move else F.when((begin >= 0) & (begin + size <= F.col("n")), key)
 
 
-def segment_keys(line: Column) -> Column:
-    """Keys of a line's own segments."""
-    return _keys(line, [(0, i, 0) for i in range(MAX_EDITS + 1)])
+def segment_keys() -> Column:
+    """Keys of a measured line's own segments: the line's length, the segment's number and text."""
+    return F.array(*[_key(0, i, 0) for i in range(MAX_EDITS + 1)])
 
 
-def probe_keys(line: Column) -> Column:
-    """Keys that a line looks up among lines as long or up to MAX_EDITS characters shorter, besides its own.
+def probe_keys() -> Column:
+    """Keys (null where there is none) that a measured line looks up among lines as long or up to MAX_EDITS characters shorter, besides its own.
 
     If i edits at most lie before segment i and MAX_EDITS - i at most behind it, the
     segment has moved by at most i as seen from the left, and by at most MAX_EDITS - i from the difference in length as seen from the right.
     Between lines of one length a move to the left is one to the right for the other line, so only the latter are looked up.
     """
-    specs = []
+    out = []
     for less in range(MAX_EDITS + 1):
         for i in range(MAX_EDITS + 1):
             moves = range(max(-i, less - (MAX_EDITS - i)), min(i, less + MAX_EDITS - i) + 1)
-            specs += [(less, i, move) for move in moves if less or move > 0]
-    return _keys(line, specs)
+            out += [_key(less, i, move) for move in moves if less or move > 0]
+    return F.array(*out)
 
 
 def _common_prefix(a: Column, b: Column) -> Column:
@@ -149,11 +152,12 @@ def within_edits(a: Column, b: Column, most: int = MAX_EDITS, begin: Column | No
     return F.when(F.least(F.length(x), F.length(y)) == 0, F.abs(d) <= most).when(F.abs(d) > most, False).otherwise(hit)
 
 
-def _letter_counts(line: Column) -> Column:
-    """How often each counted letter occurs, up to 127, a byte each; a number per group of letters."""
-    count = lambda c: F.least(F.length(line) - F.length(F.replace(line, c)), F.lit(127)).cast("long")
-    letters = F.array(*[F.array(*[F.struct(F.lit(c).alias("c"), F.lit(1 << 8 * k).cast("long").alias("unit")) for k, c in enumerate(g)]) for g in COUNTED])
-    return F.transform(letters, lambda g: F.aggregate(g, F.lit(0).cast("long"), lambda s, x: s + count(x["c"]) * x["unit"]))
+def _letter_counts(line: Column, group: int) -> Column:
+    """How often each letter of a group occurs, up to 127, a byte each."""
+    out = F.lit(0).cast("long")
+    for k, c in enumerate(COUNTED[group]):
+        out = out.bitwiseOR(F.shiftleft(F.least(F.size(F.split(line, c)) - 1, F.lit(127)).cast("long"), 8 * k))
+    return out
 
 
 def _counts_fit(x: str, y: str) -> Column:
@@ -185,16 +189,17 @@ def _bit_of(bitmap: bytes, column: Column) -> Column:
 def near_lines(docs: DataFrame) -> tuple[Kept, Kept]:
     """(distinct lines: h1, h2, key, n, first occurrence and count; verified pairs of their keys)."""
     spark = docs.sparkSession
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")  # a longer method would run uncompiled
     lines = _lines(docs)
     line = F.col("line")
-    keys = F.struct(_letter_counts(line).alias("counts"), segment_keys(line).alias("own"), probe_keys(line).alias("probes"))
-    made = lines.select("h1", "h2", F.struct("doc_id", "at", "d1", "d2").alias("place"), keys.alias("x"))
+    counts = [f"counts{g}" for g in range(len(COUNTED))]
+    keys = F.struct(*[_letter_counts(line, g).alias(c) for g, c in enumerate(counts)], segment_keys().alias("own"), probe_keys().alias("probes"))
+    made = measured(lines).select("h1", "h2", F.struct("doc_id", "at", "d1", "d2").alias("place"), keys.alias("x"))
     grouped = made.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("size"), F.first("x").alias("x"))
     distinct = Kept(spark, grouped.select("h1", "h2", F.col("h1").alias("key"), "first", "size", "x.*"), "lines")
 
-    counts = [F.col("counts")[g].alias(f"counts{g}") for g in range(len(COUNTED))]
     own = distinct.df.select("key", *counts, F.explode("own").alias("k")).alias("y")
-    probes = distinct.df.select("key", *counts, F.explode("probes").alias("k")).alias("x")
+    probes = distinct.df.select("key", *counts, F.explode("probes").alias("k")).where("k is not null").alias("x")
     apart = (F.col("x.k") == F.col("y.k")) & _counts_fit("x", "y")
     ends = [F.col("x.key").alias("a"), F.col("y.key").alias("b")]
     moved = probes.join(own, apart & (F.col("x.key") != F.col("y.key"))).select(*ends)
