@@ -12,7 +12,6 @@ from __future__ import annotations
 import os
 import re
 import zlib
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,18 +27,18 @@ END_ID = 0
 SENTENCE_CUT, WORD_CUT = 8.0, 40.0
 #: The programme runs over about this many tokens at a time; what its last, open window holds goes on to the next run.
 BLOCK_TOKENS = 1 << 18
-#: Distinct pieces, and words, whose ids a worker remembers.
-REMEMBERED = 700_000
+#: Distinct pieces whose ids a worker remembers.
+REMEMBERED = 1_200_000
 #: Characters of texts that are encoded together.
 CHUNK_CHARS = 1 << 20
-PUNCTUATION = ".,!?;:"
 #: Shortest sequence that is left unpadded on purpose (a power of two).
-LEAST_UNPADDED = 64
+LEAST_UNPADDED = 128
 TOKENIZER = "byte_bpe_50k.json"
 #: Unicode's White_Space characters.
 WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-#: White space with the run after it. No pre-token of the vocabulary crosses from other characters into white space, so such pieces can be encoded one by one.
-PIECES = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+#: White space and the run of letters and digits, or of other characters, behind it. Between such runs there is always the end of a
+#: pre-token of the vocabulary, but for apostrophes, so runs at an apostrophe or an underscore stay whole up to the next white space.
+PIECES = re.compile(rf"[{WHITE}]*+(?:[^\W_]++(?!')|[^\w'{WHITE}]++(?![_'])|[^{WHITE}]++)|[{WHITE}]++")
 SENTENCE_END = re.compile(r"[.!?…。！？]['\"»”’)\]]*$")
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long"
@@ -70,7 +69,7 @@ class _Grown:
 
 
 class PieceEncoder:
-    """Ids of whole texts. Equal pieces are encoded once and remembered, up to a bound, as are words without the punctuation behind them."""
+    """Ids of whole texts. Equal pieces are encoded once and remembered, up to a bound."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -81,32 +80,21 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        """Words by number: where their ids begin in ``flat`` and how many they are. Pieces by number: their word, the punctuation
-        behind it (word 0, without ids, if none), and whether a sentence ends behind or (a line break) before them."""
-        self.word: dict[str, int] = {"": 0}
-        self.flat, self.begin, self.size = _Grown("<u4"), _Grown(np.int64, [0]), _Grown(np.int64, [0])
+        """Pieces by number: where their ids begin in ``flat``, how many they are, whether a sentence ends behind or (a line break) before them."""
         self.number: dict[str, int] = {}
-        self.body, self.tail = _Grown(np.int64), _Grown(np.int64)
+        self.flat, self.begin, self.size = _Grown("<u4"), _Grown(np.int64), _Grown(np.int64)
         self.ends, self.breaks = _Grown(bool), _Grown(bool)
 
     def _learn(self, pieces: list[str]) -> None:
-        bodies = [p.rstrip(PUNCTUATION) for p in pieces]
-        # a letter or digit and the punctuation behind it never share a pre-token
-        bodies = [b if b and b[-1].isalnum() else p for p, b in zip(pieces, bodies, strict=True)]
-        tails = [p[len(b) :] for p, b in zip(pieces, bodies, strict=True)]
-        fresh = [w for w in dict.fromkeys(bodies + tails) if w not in self.word]
         ids: list[int] = []
         sizes: list[int] = []
-        for e in self.t.encode_batch(fresh, add_special_tokens=False):
+        for e in self.t.encode_batch(pieces, add_special_tokens=False):
             own = e.ids
             ids += own
             sizes.append(len(own))
         self.begin.add(np.cumsum([self.flat.used, *sizes])[:-1])
         self.size.add(sizes)
         self.flat.add(ids)
-        self.word.update(zip(fresh, range(len(self.word), len(self.word) + len(fresh)), strict=True))
-        self.body.add([self.word[b] for b in bodies])
-        self.tail.add([self.word[t] for t in tails])
         self.ends.add([SENTENCE_END.search(p) is not None for p in pieces])
         self.breaks.add(["\n" in p for p in pieces])
         self.number.update(zip(pieces, range(len(self.number), len(self.number) + len(pieces)), strict=True))
@@ -124,11 +112,9 @@ class PieceEncoder:
         if unknown := [p for p in dict.fromkeys(pieces) if p not in number]:
             self._learn(unknown)
         code = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
-        parts = np.stack([self.body.all[code], self.tail.all[code]], 1).ravel()
-        size = self.size.all[parts]
-        inner = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat.all[np.repeat(self.begin.all[parts] - inner[:-1], size) + np.arange(inner[-1])]
-        after = inner[::2]
+        size = self.size.all[code]
+        after = np.concatenate([[0], np.cumsum(size)])
+        ids = self.flat.all[np.repeat(self.begin.all[code] - after[:-1], size) + np.arange(after[-1])]
         cut = np.zeros(after[-1] + 1, bool)
         cut[after[1:][self.ends.all[code]]] = True
         cut[after[:-1][self.breaks.all[code]]] = True  # a piece that begins with a line break begins after an end
@@ -181,25 +167,27 @@ def best_cuts(ends: list[int], costs: list[float], window: int = WINDOW, open_en
     """
     best, back, at = [0.0], [0], [0, *ends]
     exact = unpadded_sources(np.array(at), window)
-    queue: deque[int] = deque([0])
-    last = len(ends)
+    reach = [0.0]  # best + position: what a cut has to offer to all later ones alike
+    queue, head, last = [0], 0, len(ends)
     for j in range(1, last + 1):
         pos = at[j]
-        while at[queue[0]] < pos - window:
-            queue.popleft()
-        i = queue[0]
-        pay, source = best[i] + window - (pos - at[i]), i
+        lowest = pos - window
+        while at[queue[head]] < lowest:
+            head += 1
+        source = queue[head]
+        pay = reach[source] - lowest
         if open_end and j == last:
-            pay, source = _least(best, at, j, pos - window)
-        else:
-            for k in exact.get(j, ()):
+            pay, source = _least(best, at, j, lowest)
+        elif j in exact:
+            for k in exact[j]:
                 if best[k] < pay:
                     pay, source = best[k], k
         pay += costs[j - 1]
         best.append(pay)
         back.append(source)
         value = pay + pos
-        while queue and best[queue[-1]] + at[queue[-1]] >= value:
+        reach.append(value)
+        while len(queue) > head and reach[queue[-1]] >= value:
             queue.pop()
         queue.append(j)
     chain = []
