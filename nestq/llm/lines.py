@@ -1,7 +1,7 @@
 """Line dedup by a segment-partition edit join, in DataFrame functions alone.
 
-Equal lines are grouped by a 128-bit hash. Each distinct line is split into MAX_EDITS + 1 segments,
-so a line within MAX_EDITS edits holds one of them unchanged; longer lines probe the segment index
+Equal lines are grouped by a 128-bit hash. Each distinct line is split into one segment more than the edits it
+may differ by (MAX_EDITS, fewer for short lines), so a line within these edits holds one of them unchanged; longer lines probe the segment index
 with the substrings that length and position leave possible. What meets is compared by letter
 counts and then verified by a banded bit-parallel edit distance: for each number of edits a bit
 mask over the diagonals of the band says where that many edits suffice, and one
@@ -16,8 +16,10 @@ from pyspark.sql import functions as F
 from nestq.llm.common import Kept, components, ready
 
 MAX_EDITS = 2
-#: Lines under this many characters stay as they are: short ones recur by chance.
-MIN_CHARS = 30
+#: Lines under this many characters, and blank ones, stay as they are: they are single words and marks.
+MIN_CHARS = 8
+#: From these lengths of the shorter line on, two lines may differ by one edit and by MAX_EDITS; shorter ones meet only when equal. A segment has 6 characters at least.
+ONE_EDIT, ALL_EDITS = 12, 20
 #: Letters that are counted to turn down pairs before verification, in groups of eight.
 COUNTED = (" etaonir", "hdslubgw")
 PAIRS_A_TASK = 20_000
@@ -32,35 +34,41 @@ def _hash(*cols: Column) -> list[Column]:
 def _lines(docs: DataFrame) -> DataFrame:
     """(d1, d2, doc_id, at, line, h1, h2) for every line that takes part; d1, d2 name a document: its id and text."""
     keyed = docs.where("doc_id is not null").select("doc_id", "d1", "d2", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
-    keyed = keyed.where(F.length("line") >= MIN_CHARS)
+    keyed = keyed.where((F.length("line") >= MIN_CHARS) & F.col("line").rlike(r"\S"))
     h1, h2 = _hash(F.col("line"))
     return keyed.select("*", h1.alias("h1"), h2.alias("h2"))
 
 
+def allowed_edits(n: Column) -> Column:
+    """By how many edits two lines may differ whose shorter one has ``n`` characters."""
+    return F.when(n >= ALL_EDITS, MAX_EDITS).when(n >= ONE_EDIT, 1).otherwise(0)
+
+
 def measured(lines: DataFrame) -> DataFrame:
     """``lines`` (line, ...) with n, its length, and for lines of n - less characters where each segment begins (b_less_i) and its length (l_less_i).
 
-    Segments are m / parts long, the last m % parts of them a character longer. These columns are made once, below the keys: as
+    Segments are m / parts long, the last m % parts of them a character longer; the length is null where lines of m characters have no such segment. These columns are made once, below the keys: as
     expressions within them they would make a method too large to be compiled.
     """
     parts = MAX_EDITS + 1
     out = lines.withColumn("n", F.length("line"))
     n = F.col("n")
-    out = out.withColumns({f"s_{less}": F.floor((n - less) / parts).cast("int") for less in range(parts)} | {f"m_{less}": n - less for less in range(parts)})
-    over = lambda less: F.pmod(F.col(f"m_{less}"), F.lit(parts))
-    begins = {f"b_{less}_{i}": F.col(f"s_{less}") * i + F.greatest(F.lit(0), over(less) + (i - parts)) for less in range(parts) for i in range(parts)}
-    lengths = {f"l_{less}_{i}": F.col(f"s_{less}") + F.when(over(less) + i >= parts, 1).otherwise(0) for less in range(parts) for i in range(parts)}
+    out = out.withColumns({f"m_{less}": n - less for less in range(parts)} | {f"p_{less}": allowed_edits(n - less) + 1 for less in range(parts)})
+    m, p, s, over = (lambda less, x=x: F.col(f"{x}_{less}") for x in "mpso")
+    out = out.withColumns({f"s_{less}": F.floor(m(less) / p(less)).cast("int") for less in range(parts)} | {f"o_{less}": F.pmod(m(less), p(less)) for less in range(parts)})
+    begins = {f"b_{less}_{i}": s(less) * i + F.greatest(F.lit(0), over(less) + i - p(less)) for less in range(parts) for i in range(parts)}
+    lengths = {f"l_{less}_{i}": F.when((p(less) > max(i, less, 1)), s(less) + F.when(over(less) + i >= p(less), 1).otherwise(0)) for less in range(parts) for i in range(parts)}
     return out.withColumns(begins | lengths)
 
 
 def _key(less: int, i: int, move: int) -> Column:
     begin, size = F.col(f"b_{less}_{i}") + move, F.col(f"l_{less}_{i}")
     key = F.xxhash64(F.col(f"m_{less}"), F.lit(i), F.substring(F.col("line"), begin + 1, size))
-    return key if not less and not move else F.when((begin >= 0) & (begin + size <= F.col("n")), key)
+    return F.when(size.isNotNull() if not less and not move else (begin >= 0) & (begin + size <= F.col("n")), key)
 
 
 def segment_keys() -> Column:
-    """Keys of a measured line's own segments: the line's length, the segment's number and text."""
+    """Keys (null where there is none) of a measured line's own segments: the line's length, the segment's number and text."""
     return F.array(*[_key(0, i, 0) for i in range(MAX_EDITS + 1)])
 
 
@@ -142,14 +150,16 @@ def still_possible(a: Column, b: Column, begin: Column, most: int = MAX_EDITS) -
     return F.when(left <= LOOK, True).otherwise(look[f"r{most}"] != 0)
 
 
-def within_edits(a: Column, b: Column, most: int = MAX_EDITS, begin: Column | None = None) -> Column:
-    """Whether the edit distance of two strings is at most ``most``: banded and bit-parallel, from where the strings begin to differ (or ``begin``)."""
+def within_edits(a: Column, b: Column, most: int = MAX_EDITS, begin: Column | None = None, allowed: Column | None = None) -> Column:
+    """Whether the edit distance of two strings is at most ``most`` (or ``allowed``, from 1 to ``most``): banded and bit-parallel, from where the strings begin to differ (or ``begin``)."""
+    allowed = F.lit(most) if allowed is None else allowed
     begin = F.lit(0) if begin is None else begin
     x, y = F.substring(a, begin + 1, F.length(a)), F.substring(b, begin + 1, F.length(b))
     d = F.length(b) - F.length(a)
-    last = _band(x, y, most)[f"r{most}"]
+    masks = _band(x, y, most)
+    last = F.coalesce(*[F.when(allowed == k, masks[f"r{k}"]) for k in range(1, most)], masks[f"r{most}"])
     hit = F.call_function("shiftright", last, (d + most).cast("int")).bitwiseAND(F.lit(1)) == 1
-    return F.when(F.least(F.length(x), F.length(y)) == 0, F.abs(d) <= most).when(F.abs(d) > most, False).otherwise(hit)
+    return F.when(F.least(F.length(x), F.length(y)) == 0, F.abs(d) <= allowed).when(F.abs(d) > allowed, False).otherwise(hit)
 
 
 def _letter_counts(line: Column, group: int) -> Column:
@@ -198,7 +208,7 @@ def near_lines(docs: DataFrame) -> tuple[Kept, Kept]:
     grouped = made.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("size"), F.first("x").alias("x"))
     distinct = Kept(spark, grouped.select("h1", "h2", F.col("h1").alias("key"), "first", "size", "x.*"), "lines")
 
-    own = distinct.df.select("key", *counts, F.explode("own").alias("k")).alias("y")
+    own = distinct.df.select("key", *counts, F.explode("own").alias("k")).where("k is not null").alias("y")
     probes = distinct.df.select("key", *counts, F.explode("probes").alias("k")).where("k is not null").alias("x")
     apart = (F.col("x.k") == F.col("y.k")) & _counts_fit("x", "y")
     ends = [F.col("x.key").alias("a"), F.col("y.key").alias("b")]
@@ -217,7 +227,7 @@ def near_lines(docs: DataFrame) -> tuple[Kept, Kept]:
     both = dealt.join(texts.df.toDF("a", "la"), "a").join(texts.df.toDF("b", "lb"), "b")
     la, lb = F.col("la"), F.col("lb")
     near = both.withColumn("begin", _common_prefix(la, lb)).where(still_possible(la, lb, F.col("begin")))
-    links = Kept(spark, near.where(within_edits(la, lb, MAX_EDITS, F.col("begin"))).select("a", "b"), "line_links")
+    links = Kept(spark, near.where(within_edits(la, lb, MAX_EDITS, F.col("begin"), allowed_edits(F.least(F.length(la), F.length(lb))))).select("a", "b"), "line_links")
     for k in (pairs, wanted, texts):
         k.forget()
     return distinct, links
@@ -247,7 +257,8 @@ def _named(documents: DataFrame, id_column: str, text_column: str) -> DataFrame:
 def dedup_lines(documents: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``documents`` with repeated lines taken out of the text.
 
-    Lines of at least MIN_CHARS characters within MAX_EDITS edits of one another are linked; of each connected
+    Lines of at least MIN_CHARS characters, blank ones aside, are linked when they are equal or within MAX_EDITS edits of one
+    another (one edit where the shorter has under ALL_EDITS characters, none under ONE_EDIT); of each connected
     class the occurrence with the smallest (id, line number) stays and all others go. All other lines
     and columns stay as they are; a text whose lines all go becomes empty. Documents with a null id or null text are
     left alone; rows that repeat both id and text are one document and come out alike. An empty table gives an empty result.

@@ -203,3 +203,28 @@ def test_lines_of_repeated_and_unnamed_rows(spark):
     line = "the same line of quite enough characters"
     df = spark.createDataFrame([(1, line), (1, line), (None, line), (2, line)], "doc_id long, text string")
     assert sorted((r["doc_id"] or 0, r["text"]) for r in lines.dedup_lines(df).collect()) == [(0, line), (1, line), (1, line), (2, "")]
+
+
+def test_short_lines(spark):
+    """Short lines go too: equal ones from MIN_CHARS characters on, and near ones by as many edits as their length allows."""
+    rng = random.Random(6)
+    allowed = lambda n: 0 if n < lines.ONE_EDIT else 1 if n < lines.ALL_EDITS else 2
+    base = ["".join(rng.choice("abcdefgh ") for _ in range(n)) for n in range(6, 33) for _ in range(2)] + ["All rights reserved.", "Licensed under CC BY-NC 4.0."]
+    docs = {}
+    for d in range(60):
+        chosen = []
+        for _ in range(4):
+            line = list(rng.choice(base))
+            for _ in range(rng.choice([0, 0, 1, 2, 3])):
+                k = rng.randrange(len(line))
+                line[k : k + rng.randint(0, 1)] = rng.choice(["", "z", "é"])
+            chosen.append("".join(line))
+        docs[d] = "\n".join(chosen)
+    docs |= {70: "All rights reserved.\nx", 71: "All rights reserved", 72: "y\nAll rights reserved.", 73: " " * 40, 74: " " * 40, 75: "a line of 29 characters, one,", 76: "a line of 29 characters, one,!"}
+    places = sorted(((d, i), x) for d, t in docs.items() for i, x in enumerate(t.split("\n")) if len(x) >= lines.MIN_CHARS and x.strip())
+    near = [(p, q) for (p, x), (q, y) in itertools.combinations(places, 2) if edits(x, y) <= allowed(min(len(x), len(y)))]
+    root = roots([p for p, _ in places], near)
+    want = {d: ",".join(str(i) for i in range(t.count("\n") + 1) if root.get((d, i), (d, i)) != (d, i)) for d, t in docs.items()}
+    assert want[72] == "1" and want[71] == want[76] == "0" and want[74] == ""
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    assert {r["doc_id"]: r["dropped"] for r in lines.line_report(df).collect()} == want
