@@ -3,7 +3,7 @@
 A fixed mask reads some positions of a window of words and ignores the others, so one hash still meets when
 words at ignored positions were replaced. Hashes of all windows of the documents are looked up among those of
 the benchmark; around each hit the texts are compared word by word along their diagonal, and
-the best stretch with few enough substitutions is the overlap.
+the best stretch with few enough substitutions is the overlap, or any stretch with few enough if the best has too many.
 
 The benchmark is dealt into blocks of a bounded number of words, each broadcast by itself; a
 document is read once a block and never shuffled.
@@ -11,6 +11,8 @@ document is read once a block and never shuffled.
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -122,6 +124,25 @@ def best_stretch(equal: np.ndarray, substitution: int) -> tuple[int, int, int]:
     return begin, end, int(equal[begin:end].sum())
 
 
+def qualifying_stretch(equal: np.ndarray, wanted: int) -> tuple[int, int, int] | None:
+    """(begin, end, equal words) of a stretch with the most equal words among those with a share of MIN_EQUAL; None when that is fewer than ``wanted``.
+
+    With 1 - MIN_EQUAL for an equal word and -MIN_EQUAL for another, a stretch has the share when its score is not negative. For each end
+    the earliest such begin is where the running minimum of the prefix sums first falls to the sum at the end.
+    """
+    share = Fraction(MIN_EQUAL).limit_denominator(1000)
+    up, down = share.denominator - share.numerator, share.numerator
+    total = np.concatenate([[0], np.cumsum(np.where(equal, up, -down))])
+    least = np.minimum.accumulate(total)
+    begin = np.searchsorted(-least, -total, "left")  # whole numbers, so ties are exact
+    count = np.concatenate([[0], np.cumsum(equal)])
+    same = count - count[begin]
+    end = int(np.argmax(same))
+    if same[end] < max(1, wanted):
+        return None
+    return int(begin[end]), end, int(same[end])
+
+
 def overlaps(block: Block, h: np.ndarray, at: np.ndarray, item: np.ndarray, pos: np.ndarray) -> list[tuple]:
     """The best overlap (item, equal words, words, begin in h, begin in the item) with each item that was hit and overlaps enough."""
     best: dict[int, tuple] = {}
@@ -129,10 +150,14 @@ def overlaps(block: Block, h: np.ndarray, at: np.ndarray, item: np.ndarray, pos:
         other = block.items[k][1]
         lo, hi = max(0, -d), min(len(other), len(h) - d)
         equal = h[lo + d : hi + d] == other[lo:hi]
-        for price in SUBSTITUTION:
-            begin, end, same = best_stretch(equal, price)
-            enough = same >= min(MIN_WORDS, int(np.ceil(MIN_SHARE * len(other)))) and same >= MIN_EQUAL * (end - begin)
-            if enough and same > best.get(k, (0, 0))[1]:
+        wanted = min(MIN_WORDS, int(np.ceil(MIN_SHARE * len(other))))
+        if np.count_nonzero(equal) < wanted:
+            continue
+        stretches = [s for price in SUBSTITUTION if (s := best_stretch(equal, price))[2] >= wanted and s[2] >= MIN_EQUAL * (s[1] - s[0])]
+        if not stretches and (found := qualifying_stretch(equal, wanted)):
+            stretches = [found]
+        for begin, end, same in stretches:
+            if same > best.get(k, (0, 0))[1]:
                 best[k] = (k, same, end - begin, lo + d + begin, lo + begin)
     return list(best.values())
 

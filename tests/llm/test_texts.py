@@ -306,3 +306,31 @@ def test_pipeline(spark, data):
     for name, stage in corpus_pipeline.STAGES[:4]:
         assert stage(spark, docs, data).columns == docs.columns, name
         assert stage(spark, docs.limit(0), data).count() == 0, name
+
+
+def test_qualifying_stretch_against_brute_force():
+    rng = np.random.default_rng(7)
+    none = 0
+    for _ in range(400):
+        equal = rng.random(rng.integers(1, 40)) < rng.choice([0.5, 0.65, 0.75, 0.85])
+        spans = [(b, e) for b in range(len(equal)) for e in range(b + 1, len(equal) + 1) if equal[b:e].sum() * 4 >= 3 * (e - b)]
+        most = max((int(equal[b:e].sum()) for b, e in spans), default=0)
+        for wanted in (1, 8, 13):
+            found = decontaminate.qualifying_stretch(equal, wanted)
+            assert (found is None) == (most < wanted)
+            if found:
+                assert found[2] == most == equal[found[0] : found[1]].sum() and found[:2] in spans
+            none += found is None
+    assert none > 50
+
+
+def test_long_copies_with_replaced_words():
+    """Three equal, one replaced, two equal, one replaced: found at any length."""
+    known = decontaminate.PlainWords()
+    for n in (17, 24, 31, 38, 45, 59):
+        item = [f"i{k}" for k in range(n)]
+        copy = " ".join(f"x{k}" if k % 7 in (3, 6) else w for k, w in enumerate(item))
+        block = decontaminate.Block([(1, known.text(" ".join(item)))])
+        h = known.text(copy)
+        (found,) = decontaminate.overlaps(block, h, np.array([0]), np.array([0]), np.array([0]))
+        assert found[1] >= 13 and found[1] >= 0.75 * found[2], n
