@@ -131,6 +131,17 @@ _gql("rel_filter_many_to_many", "{ parts(where: {suppliers: {acctbal: {lt: 0}}})
 _gql("rel_optional_one", "{ documents { items { docId labels { quality } } } }", 'SELECT d.doc_id AS "docId", quality AS labels_quality FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id', _unnested("labels", "quality"))
 _gql("through_entity", "{ suppliers(where: {suppkey: {lt: 10}}) { items { suppkey lineitems { orderkey partkey } } } }", "SELECT s_suppkey AS suppkey, l_orderkey AS lineitems_orderkey, l_partkey AS lineitems_partkey FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey WHERE s_suppkey < 10", _unnested("lineitems", "orderkey", "partkey"))
 
+# the same relations, recursions and views over all rows, without a filter on ids
+_gql("view_alias_entity_all", "{ miniCustomers { items { custkey name shown } } }", "SELECT c_custkey AS custkey, c_name AS name, upper(c_name) AS shown FROM customer")
+_gql("rel_many_to_many_all", "{ parts { items { partkey suppliers { suppkey } } } }", "SELECT p_partkey AS partkey, s_suppkey AS suppliers_suppkey FROM part LEFT JOIN (lineitem JOIN supplier ON s_suppkey = l_suppkey) ON l_partkey = p_partkey", _unnested("suppliers", "suppkey"))
+_gql("rel_self_children_all", "{ partNodes { items { id children { id } } } }", f"SELECT a.id, b.id AS children_id FROM {_NODES} a LEFT JOIN {_NODES} b ON b.pid = a.id", _unnested("children", "id"))
+_DOWN_ALL = f"WITH RECURSIVE n AS {_NODES}, r AS (SELECT id AS root, id, 0 AS lvl FROM n UNION ALL SELECT r.root, n.id, lvl + 1 FROM r JOIN n ON n.pid = r.id AND n.pid <> n.id"
+_gql("rel_recursive_children_all", "{ partNodes { items { id children(level: 0) { id } } } }", f"{_DOWN_ALL}) SELECT root AS id, id AS children_id FROM r WHERE lvl > 0", _unnested("children", "id", keep_empty=False))
+_gql("rel_recursive_levels_all", "{ partNodes { items { id children(level: 2) { id } } } }", f"{_DOWN_ALL} WHERE lvl < 2) SELECT root AS id, id AS children_id FROM r WHERE lvl > 0", _unnested("children", "id", keep_empty=False))
+_gql("rel_recursive_where_all", "{ partNodes { items { id children(level: 0, where: {size: {gt: 10}}) { id } } } }", f"{_DOWN_ALL} WHERE n.size > 10) SELECT root AS id, id AS children_id FROM r WHERE lvl > 0", _unnested("children", "id", keep_empty=False))
+_gql("rel_recursive_parents_all", "{ partNodes { items { id ancestors(level: 0) { id } } } }", f"WITH RECURSIVE n AS {_NODES}, r AS (SELECT id AS root, pid AS id FROM n WHERE pid IS NOT NULL AND pid <> id UNION ALL SELECT r.root, n.pid FROM r JOIN n ON n.id = r.id WHERE n.pid IS NOT NULL AND n.pid <> n.id) SELECT root AS id, id AS ancestors_id FROM r", _unnested("ancestors", "id", keep_empty=False))
+_gql("through_entity_all", "{ suppliers { items { suppkey lineitems { orderkey partkey } } } }", "SELECT s_suppkey AS suppkey, l_orderkey AS lineitems_orderkey, l_partkey AS lineitems_partkey FROM supplier LEFT JOIN lineitem ON l_suppkey = s_suppkey", _unnested("lineitems", "orderkey", "partkey"))
+
 
 def _multi_root(spark: SparkSession, folder: str) -> DataFrame:
     frames = star_engine(spark, folder).frames("{ a: regions { items { name } } b: nations { items { name } } }")

@@ -38,3 +38,14 @@ def test_entry(spark):
     import __spark_entry__ as entry
 
     assert set(suite.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+WHOLE = "view_alias_entity rel_many_to_many rel_self_children rel_recursive_children rel_recursive_levels rel_recursive_where rel_recursive_parents through_entity".split()
+
+
+@pytest.mark.parametrize("name", WHOLE)
+def test_whole_query_has_no_subset(duck, name):
+    """Each relation, recursion and view also runs over all rows, of which the filtered query has a part."""
+    part, whole = (rows(duck.execute(suite.ORACLE[n]).df()) for n in (name, f"{name}_all"))
+    assert len(whole) >= len(part) > 0 or name == "rel_recursive_parents"
+    assert whole and set(part) <= set(whole)
