@@ -56,6 +56,9 @@ class Permutation:
             value += hashlib.blake2b(value, digest_size=64).digest()
         return int.from_bytes(value, "big") & ((1 << bits) - 1)
 
+    def drawn(self, tweak: bytes, k: int) -> int:
+        return self._round(b"drawn" + tweak, 0, k, 512)
+
     def __call__(self, value: int, size: int, tweak: bytes) -> int:
         if size < 2:
             return value
@@ -70,7 +73,9 @@ class Permutation:
 
 
 def permuted(text: str, permutation: Permutation, tweak: bytes, valid: Callable[[str], bool] = lambda s: True) -> str:
-    """``text`` with letters and digits replaced within their groups. ``valid`` must hold for the text itself; the result is valid too and another text, if there is one.
+    """``text`` with letters and digits replaced within their groups. ``valid`` must hold for the text itself; the result is valid too and another text.
+
+    Where the permutation leads to none, the text's letters and digits are drawn by the key, which may (seldom) give two texts one surrogate.
 
     Case is a matter of format: two spellings of one text get two spellings of one surrogate.
     """
@@ -81,19 +86,35 @@ def permuted(text: str, permutation: Permutation, tweak: bytes, valid: Callable[
         if g:
             value, size = value * len(g) + g.index(c), size * len(g)
     shape = tweak + "".join(g[0] if g else c for c, g in zip(low, groups, strict=True)).encode()
-    now = value
-    for _ in range(10_000):
-        now = permutation(now, size, shape)
-        rest, out = now, []
+
+    def spelled(rest: int) -> str:
+        out = []
         for c, g, was in zip(reversed(low), reversed(groups), reversed(text), strict=True):
             if g:
                 rest, k = divmod(rest, len(g))
                 c = g[k].upper() if was != c else g[k]
             out.append(c if g else was)
-        found = "".join(reversed(out))
-        if valid(found.lower()):
-            return found
-    return text
+        return "".join(reversed(out))
+
+    now = value
+    for _ in range(10_000):
+        now = permutation(now, size, shape)
+        if valid(found := spelled(now).lower()) and found != text.lower():
+            return spelled(now)
+        if now == value:  # once around
+            break
+    for k in range(1000 if size > 1 else 0):
+        now = permutation.drawn(shape + "".join(low).encode(), k) % size
+        if valid(found := spelled(now).lower()) and found != text.lower():
+            return spelled(now)
+    return re.sub(r"[^\W_]+", lambda m: _drawn_word(m.group(), permutation, tweak), text)
+
+
+def _drawn_word(word: str, permutation: Permutation, tweak: bytes) -> str:
+    """Keyed Latin letters in place of a word that no alphabet holds."""
+    letters, now = ALPHABETS[0][1], permutation.drawn(tweak + word.lower().encode(), 0)
+    out = "".join(letters[now // len(letters) ** i % len(letters)] for i in range(max(8, len(word))))
+    return out.upper() if word.isupper() and len(word) > 1 else out.capitalize() if word[0].isupper() else out
 
 
 def luhn_rest(digits: str) -> int:
@@ -117,19 +138,21 @@ PATTERNS = (
     ("email", re.compile(r"(?<![\w.+-])[\w.+-]{1,64}@(?:[\w-]{1,63}\.){1,8}[A-Za-zА-Яа-я]{2,24}(?![\w-])")),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     ("ip", re.compile(r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])")),
-    ("card", re.compile(r"(?<![0-9A-Za-z])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9A-Za-z])")),
+    ("card", re.compile(r"(?<![0-9A-Za-z+])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9A-Za-z])")),
     ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
-    ("phone", re.compile(r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z])")),
+    ("phone", re.compile(r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+[0-9]{8,15}(?![0-9A-Za-z])|(?<![0-9A-Za-z.-])(?:[0-9]{10}|[0-9]{3}-[0-9]{4})(?![0-9A-Za-z-]|\.[0-9])")),
 )
 HONORIFICS = {"mr": "m", "sir": "m", "herr": "m", "monsieur": "m", "señor": "m", "sr": "m", "господин": "m", "κύριος": "m", "mrs": "f", "ms": "f", "miss": "f", "frau": "f", "madame": "f", "mme": "f", "señora": "f", "sra": "f", "госпожа": "f", "κυρία": "f", "dr": "", "prof": ""}
 NAME = re.compile(r"\b(" + "|".join(sorted(HONORIFICS, key=len, reverse=True)) + r")\b(\.?[ ]+)([^\W\d_]+)((?:[ ][^\W\d_]+)?)", re.IGNORECASE)
 GENDER_OF = {n: (g, s) for (g, s), names in GIVEN_NAMES.items() for n in names}
+GIVEN_SPELLINGS = {x for n in GENDER_OF for x in (n.capitalize(), n.upper())}
+WORD = re.compile(r"[^\W\d_]+")
 MAY_HOLD = re.compile(r"[0-9@]")
 MAY_NAME = re.compile(r"\b(?:" + "|".join(sorted(HONORIFICS, key=len, reverse=True)) + r")\b", re.IGNORECASE)
 
 
 def detect(text: str) -> list[Entity]:
-    """Entities in order, none overlapping; where kinds overlap the one named first in PATTERNS holds."""
+    """Entities in order, none overlapping: names behind an honorific and their parts wherever else the text has them, listed given names, and PATTERNS; where kinds overlap the one named first in PATTERNS holds."""
     found: list[Entity] = []
     if MAY_HOLD.search(text):
         for kind, pattern in PATTERNS:
@@ -145,6 +168,13 @@ def detect(text: str) -> list[Entity]:
                     found.append(Entity("name", begin, m.end(at), HONORIFICS[m.group(1).lower()]))
                 else:
                     break
+    genders = {text[e.start : e.end].lower(): e.gender for e in reversed(found) if e.kind == "name"}
+    if genders or not GIVEN_SPELLINGS.isdisjoint(WORD.findall(text)):
+        for m in WORD.finditer(text):
+            word = m.group()
+            low = word.lower()
+            if word[0].isupper() and (low in genders or low in GENDER_OF):
+                found.append(Entity("name", *m.span(), genders[low] if low in genders else GENDER_OF[low][0]))
     rank = {k: i for i, (k, _) in enumerate(PATTERNS)}
     out: list[Entity] = []
     for e in sorted(found, key=lambda e: (e.start, rank.get(e.kind, 99))):
@@ -191,7 +221,7 @@ class Surrogates:
         return permuted(text, self.permutation, b"ssn", lambda s: valid(s) == ok and s != text)
 
     def _phone(self, text: str, _: str) -> str:
-        m = re.match(r"\+[0-9]{1,3}[ .-]", text)
+        m = re.match(r"\+(?:1(?=[0-9]{10}$)|[0-9]{1,3}[ .-])", text)
         head = m.group(0) if m else ""
         digits = [c for c in text[len(head) :] if c.isdigit()]
         plain = "".join(digits)
@@ -222,12 +252,8 @@ class Surrogates:
         if low in GENDER_OF:
             group = GENDER_OF[low]
             names = GIVEN_NAMES[group]
-            k = names.index(low)
-            for _ in names:
-                k = self.permutation(k, len(names), repr(group).encode())
-                if names[k] != low:
-                    break
-            new = names[k]
+            ring = [names[self.permutation(k, len(names), repr(group).encode())] for k in range(len(names))]
+            new = ring[(ring.index(low) + 1) % len(ring)]  # each name goes to the next, none to itself
             return new.upper() if text.isupper() and len(text) > 1 else new.capitalize() if text[0].isupper() else new
         return permuted(text, self.permutation, b"name", lambda s: s not in GENDER_OF and s != low)
 

@@ -334,3 +334,26 @@ def test_long_copies_with_replaced_words():
         h = known.text(copy)
         (found,) = decontaminate.overlaps(block, h, np.array([0]), np.array([0]), np.array([0]))
         assert found[1] >= 13 and found[1] >= 0.75 * found[2], n
+
+
+def test_names_behind_no_honorific_are_replaced():
+    text = "Mr. John Smith came. Smith said so, and SMITH's sister Anna too; smithy stays. Звали Ольга."
+    new, told = surrogates.Surrogates(b"k").replace(text)
+    assert [text[a:b] for _, a, b, _ in told] == ["John", "Smith", "Smith", "SMITH", "Anna", "Ольга"]
+    assert told[1][3] == told[2][3] == told[3][3].capitalize() and "smithy stays" in new
+    assert not re.search("Smith|SMITH|John|Anna|Ольга", new)
+
+
+def test_no_entity_stays_itself():
+    for key in (surrogates.DEFAULT_KEY, b"k", b"other"):
+        s = surrogates.Surrogates(key)
+        for names in surrogates.GIVEN_NAMES.values():
+            assert sorted(s("name", n) for n in names) == sorted(names) and all(s("name", n) != n for n in names)
+        short = [a + b for a in "AEIOUBCDF" for b in "abcdefghij"] + ["Արամ", "Ё", "Ñ"]
+        assert all(s("name", n).lower() != n.lower() for n in short)
+
+
+def test_phones_without_separators():
+    for phone in ("+15551234567", "5551234567", "555-1234", "+4915112345678"):
+        new, told = surrogates.Surrogates(b"k").replace(f"call {phone}.")
+        assert [k for k, *_ in told] == ["phone"] and phone not in new and re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", f"call {phone}.")
