@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 #: Levels up to which recursion is unrolled into joins; deeper or unbounded recursion is a recursive query.
 UNROLLED = 4
-MAX_LEVELS = 100
+#: Spark's own limits on a recursive query, which it would fail at: none, as every recursion ends by itself.
+UNLIMITED = {"spark.sql.cteRecursionLevelLimit": "-1", "spark.sql.cteRecursionRowLimit": "-1"}
 
 
 def gathered(children: DataFrame, row: str = "__row") -> DataFrame:
@@ -57,13 +58,15 @@ def walk(spark: SparkSession, roots: DataFrame, links: DataFrame, level: int) ->
             part = now.select("__fk", "__id", F.lit(k).alias("__level"))
             out = part if out is None else out.union(part)
     else:
-        most = min(level or MAX_LEVELS, MAX_LEVELS)
+        for name, value in UNLIMITED.items():
+            spark.conf.set(name, value)
+        bound = f"r.__level < {level} AND " if level else ""
         out = spark.sql(
             f"""WITH RECURSIVE r AS (
               SELECT __fk, __id, 0 AS __level, array(__id) AS __path FROM {{roots}}
               UNION ALL
               SELECT r.__fk, l.__to, r.__level + 1, concat(r.__path, array(l.__to)) FROM r JOIN {{links}} l ON l.__from = r.__id
-              WHERE r.__level < {most} AND NOT array_contains(r.__path, l.__to))
+              WHERE {bound}NOT array_contains(r.__path, l.__to))
             SELECT __fk, __id, __level FROM r WHERE __level > 0""",
             roots=roots.select("__fk", "__id"),
             links=links,
