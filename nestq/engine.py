@@ -9,6 +9,7 @@ import time
 from decimal import Decimal
 from typing import Any
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,8 +24,23 @@ from nestq.plans.lang import Document, Field, Operation, bound_variables, fields
 from nestq.plans.planner import LIST_ARGS, Planner
 from nestq.sources.catalog import Catalog, Entity
 from nestq.sources.naming import lower_camel, plural
+from nestq.sources.shared import written
 
 CACHE_SECONDS = 30 * 60
+#: Operations after which the image of an entity they changed is written out.
+IMAGE_STEPS = 8
+
+
+def message_of(error: Exception) -> str:
+    """What a caller is told of an error: its first line, without the cluster's stack."""
+    if isinstance(error, Py4JJavaError):
+        cause = error.java_exception
+        while cause.getCause() is not None:
+            cause = cause.getCause()
+        text = cause.getMessage() or cause.getClass().getName()
+    else:
+        text = str(error) or type(error).__name__
+    return text.strip().split("\n")[0]
 
 
 def plain(value: Any) -> Any:
@@ -51,6 +67,8 @@ class Engine:
         self.spark, self.catalog = spark, catalog
         self.resolvers = resolvers or Resolvers()
         self.images: dict[str, DataFrame] = {}  # what mutations have made of tables
+        self.steps: dict[str, int] = {}
+        self.user: Any = None  # who creations, changes and deletions are stamped with
         self.cache_on = cache
         self.results: dict[str, tuple[float, set[str], Any]] = {}
         self.hits = 0
@@ -108,9 +126,13 @@ class Engine:
 
     # -- results
 
-    def execute(self, text: str, variables: dict[str, Any] | None = None, operation_name: str | None = None) -> dict[str, Any]:
-        """``{"data": ..., "errors": [...]}``; data is null when anything fails. Mutations of a failed operation are undone."""
+    def execute(self, text: str, variables: dict[str, Any] | None = None, operation_name: str | None = None, user: Any = None) -> dict[str, Any]:
+        """``{"data": ..., "errors": [...]}``; data is null when anything fails, in the query or on the cluster. Mutations of a failed operation are undone.
+
+        ``user`` goes into created_by, updated_by and deleted_by where an entity has them.
+        """
         images = dict(self.images)
+        self.user = user
         try:
             document = parse(text)
             op = pick_operation(document, operation_name)
@@ -124,12 +146,25 @@ class Engine:
                 data = self._run(op, planner)
                 if self.cache_on and op.kind != "mutation":
                     self.results[key] = (time.monotonic() + CACHE_SECONDS, set(planner.touched), data)
-        except QueryError as e:
+        except Exception as e:  # whatever fails, here or on the cluster, is an error of the operation
+            return {"data": None, "errors": [{"message": message_of(e)}]}
+        else:
+            if op.kind == "mutation":
+                self._settle(images)
+            images = self.images
+        finally:
             self.images = images
-            return {"data": None, "errors": [{"message": str(e)}]}
         nested = op.name and self.catalog.options.nest_under_operation
         return {"data": {op.name: data} if nested else data, "errors": []}
 
+    def _settle(self, before: dict[str, DataFrame]) -> None:
+        """Images are plans upon plans; after every IMAGE_STEPS operations that changed it, an entity's is written to the shared folder."""
+        for name, df in self.images.items():
+            if df is not before.get(name):
+                self.steps[name] = self.steps.get(name, 0) + 1
+                if self.steps[name] >= IMAGE_STEPS:
+                    self.images[name], self.steps[name] = written(df, "image"), 0
+
     def _run(self, op: Operation, planner: Planner) -> dict[str, Any]:
         roots = fields_of(op.selection, planner.document, planner.variables)
         out: dict[str, Any] = {}

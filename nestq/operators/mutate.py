@@ -18,6 +18,7 @@ if TYPE_CHECKING:
 
 #: Columns that mutations stamp when an entity has them. Fixed names.
 CREATED, UPDATED, DELETED = "created_at", "updated_at", "deleted_at"
+CREATED_BY, UPDATED_BY, DELETED_BY = "created_by", "updated_by", "deleted_by"
 
 
 def _python(value: Any, kind: T.DataType, name: str) -> Any:
@@ -44,13 +45,21 @@ def _python(value: Any, kind: T.DataType, name: str) -> Any:
     return value
 
 
-def _now(kind: T.DataType) -> Column:
-    return F.current_timestamp().cast(kind)
-
-
 class Mutations:
     def __init__(self, planner: Planner):
         self.planner, self.engine = planner, planner.engine
+        #: One time for all stamps of a mutation, taken here: an image that is read again later still says the same.
+        self.moment = dt.datetime.now(dt.timezone.utc)
+
+    def _now(self, kind: T.DataType) -> Column:
+        return F.lit(self.moment).cast(kind)
+
+    def _stamps(self, df: DataFrame, at: str, by: str) -> dict[str, Column]:
+        """What a time column and a user column are set to, as far as there are such and a user is known."""
+        out = {at: self._now(df.schema[at].dataType)} if at in df.columns else {}
+        if by in df.columns and self.engine.user is not None:
+            out[by] = typed_literal(self.engine.user, df.schema[by].dataType, by)
+        return out
 
     # -- input
 
@@ -98,7 +107,10 @@ class Mutations:
                 values[key] = following
             for stamp in (CREATED, UPDATED):
                 if stamp in df.columns and values.get(stamp) is None and stamp == CREATED:
-                    values[stamp] = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
+                    values[stamp] = self.moment.replace(tzinfo=None)
+            for by in (CREATED_BY, UPDATED_BY):
+                if by in df.columns and values.get(by) is None and self.engine.user is not None:
+                    values[by] = self.engine.user
             for f, v in related:
                 if f.relation.kind == MANY_TO_ONE and isinstance(v, dict) and "connect" in v:
                     values[f.relation.source_column] = v["connect"][0] if isinstance(v["connect"], list) else v["connect"]
@@ -155,6 +167,8 @@ class Mutations:
         values, related = self._split(e, given)
         if set(values) & set(e.key_columns):
             raise QueryError(f"the key of {e.name} cannot be changed")
+        if stamped := set(values) & {CREATED, UPDATED}:
+            raise QueryError(f"{min(stamped)} of {e.name} is stamped and cannot be changed")
         found, flagged = self._matched(e, df, args)
         if e.deleted_at and e.deleted_at in df.columns:
             found = found & F.col(e.deleted_at).isNull()
@@ -171,8 +185,7 @@ class Mutations:
         marked = flagged.withColumn("__hit", found)
         schema = df.schema
         changes = {c: typed_literal(v, schema[c].dataType, c) for c, v in values.items()}
-        if UPDATED in df.columns and UPDATED not in changes:
-            changes[UPDATED] = _now(schema[UPDATED].dataType)
+        changes = self._stamps(df, UPDATED, UPDATED_BY) | changes
         for c, new in changes.items():
             marked = marked.withColumn(c, F.when(F.col("__hit"), new).otherwise(F.col(f"`{c}`")))
         self.engine.replace(e, marked.select(*[f"`{c}`" for c in df.columns]))
@@ -190,7 +203,9 @@ class Mutations:
         marked = flagged.withColumn("__hit", found)
         gone = marked.where("__hit").select(*[f"`{c}`" for c in df.columns])
         if soft:
-            left = marked.withColumn(soft, F.when(F.col("__hit"), _now(df.schema[soft].dataType)).otherwise(F.col(f"`{soft}`")))
+            left = marked
+            for c, new in self._stamps(df, soft, DELETED_BY).items():
+                left = left.withColumn(c, F.when(F.col("__hit"), new).otherwise(F.col(f"`{c}`")))
         else:
             left = marked.where(~F.col("__hit"))
         self.engine.replace(e, left.select(*[f"`{c}`" for c in df.columns]))
@@ -215,22 +230,27 @@ class Mutations:
         flags = self.engine.spark.createDataFrame([(i, *[c in v for c in df.columns]) for i, v in enumerate(inputs)], told)
         numbered = self.engine.spark.createDataFrame([(*[_python(v[k], df.schema[k].dataType, k) for k in e.key_columns], i) for i, v in enumerate(inputs)], T.StructType([T.StructField(k, df.schema[k].dataType) for k in e.key_columns] + [T.StructField("__key", T.IntegerType())]))
         new = incoming.join(numbered, e.key_columns).join(flags, "__key").select(*[F.col(f"`{c}`").alias(c if c in e.key_columns else f"__new_{c}") for c in df.columns], *[f"__has_{c}" for c in df.columns], F.lit(True).alias("__in"))
-        guard, flagged = self.planner.predicate(e, df.withColumn("__old", F.lit(True)), {"where": where} if where else {})
+        guard, flagged = self.planner.predicate(e, df, {"where": where} if where else {})
         flagged = flagged.withColumn("__may", F.coalesce(guard, F.lit(False)) if guard is not None else F.lit(True))
-        both = flagged.join(F.broadcast(new), e.key_columns, "full_outer")
-        fresh = F.col("__old").isNull()
-        hit = F.col("__in").isNotNull() & (fresh | F.col("__may"))
+        # the inputs are literals of this operation; Spark sees their size and broadcasts them while they are small
+        known = flagged.join(new, e.key_columns, "left")
+        hit = F.coalesce(F.col("__in") & F.col("__may"), F.lit(False))
+        stamps = self._stamps(df, UPDATED, UPDATED_BY)
         outs = []
         for c in df.columns:
             if c in e.key_columns:
                 outs.append(F.col(f"`{c}`"))
                 continue
-            changed = F.when(hit & (fresh | F.col(f"__has_{c}")), F.col(f"__new_{c}")).otherwise(F.col(f"`{c}`"))
-            if c in (CREATED, UPDATED):
-                stamp = hit & (fresh if c == CREATED else ~fresh) & ~F.coalesce(F.col(f"__has_{c}"), F.lit(False))
-                changed = F.when(stamp, _now(df.schema[c].dataType)).otherwise(changed)
-            outs.append(changed.alias(c))
-        result = both.select(*outs, F.coalesce(hit, F.lit(False)).alias("__hit"))
+            has = F.coalesce(F.col(f"__has_{c}"), F.lit(False))
+            changed = F.when(hit & has, F.col(f"__new_{c}"))
+            if c in stamps:
+                changed = changed.when(hit, stamps[c])
+            outs.append(changed.otherwise(F.col(f"`{c}`")).alias(c))
+        old = known.select(*outs, hit.alias("__hit"))
+        made = self._stamps(df, CREATED, CREATED_BY)
+        own = [F.col(f"`{c}`") if c in e.key_columns else F.when(F.col(f"__has_{c}"), F.col(f"__new_{c}")).otherwise(made[c]).alias(c) if c in made else F.col(f"__new_{c}").alias(c) for c in df.columns]
+        fresh = new.join(df.select(*[f"`{k}`" for k in e.key_columns]), e.key_columns, "left_anti").select(*own, F.lit(True).alias("__hit"))
+        result = old.unionByName(fresh)
         self.engine.replace(e, result.drop("__hit"))
         return result.where("__hit").drop("__hit")
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Levels up to which recursion is unrolled into joins; deeper or unbounded recursion is a recursive query.
+from nestq.sources.shared import written
+
+#: Levels up to which recursion is one lazy plan; deeper or unbounded recursion goes on level by level until nothing new is reached.
 UNROLLED = 4
-#: Spark's own limits on a recursive query, which it would fail at: none, as every recursion ends by itself.
-UNLIMITED = {"spark.sql.cteRecursionLevelLimit": "-1", "spark.sql.cteRecursionRowLimit": "-1"}
+#: Most levels that one job of such a recursion takes.
+STRIDE = 16
 
 
 def gathered(children: DataFrame, row: str = "__row") -> DataFrame:
@@ -45,33 +49,41 @@ def links_of(nodes: DataFrame, start: str, end: str, allowed: DataFrame | None =
 
 
 def walk(spark: SparkSession, roots: DataFrame, links: DataFrame, level: int) -> DataFrame:
-    """(__fk, __id, __level): the nodes that each root reaches within ``level`` steps (0: all), roots excluded.
+    """(__fk, __id, __level): the nodes that each root reaches within ``level`` steps (0: all), and the least number of steps; roots excluded.
 
-    No path visits a node twice. ``roots``: (__fk, __id), what the root is called and the node it is.
+    ``roots``: (__fk, __id), what the root is called and the node it is. Up to UNROLLED levels the result is lazy. Beyond, each job
+    takes the frontier some levels on (1, 2, 4, ... STRIDE), leaves out what was reached before and writes the rest to the shared
+    folder, until a frontier is empty: so cycles end, and there is no limit on levels or rows.
     """
+    start = roots.select("__fk", "__id").distinct()
     if 0 < level <= UNROLLED:
-        now = roots.select("__fk", F.col("__id"), F.array("__id").alias("__path"))
-        out = None
-        for k in range(1, level + 1):
-            step = now.join(links, now["__id"] == links["__from"]).where(~F.array_contains("__path", F.col("__to")))
-            now = step.select("__fk", F.col("__to").alias("__id"), F.concat("__path", F.array("__to")).alias("__path"))
-            part = now.select("__fk", "__id", F.lit(k).alias("__level"))
-            out = part if out is None else out.union(part)
-    else:
-        for name, value in UNLIMITED.items():
-            spark.conf.set(name, value)
-        bound = f"r.__level < {level} AND " if level else ""
-        out = spark.sql(
-            f"""WITH RECURSIVE r AS (
-              SELECT __fk, __id, 0 AS __level, array(__id) AS __path FROM {{roots}}
-              UNION ALL
-              SELECT r.__fk, l.__to, r.__level + 1, concat(r.__path, array(l.__to)) FROM r JOIN {{links}} l ON l.__from = r.__id
-              WHERE {bound}NOT array_contains(r.__path, l.__to))
-            SELECT __fk, __id, __level FROM r WHERE __level > 0""",
-            roots=roots.select("__fk", "__id"),
-            links=links,
-        )
-    return out.groupBy("__fk", "__id").agg(F.min("__level").alias("__level"))
+        return _unreached(_onward(start, links, 0, level), start.withColumn("__level", F.lit(0)))
+    links = written(links.distinct(), "links")
+    reached = [written(start.withColumn("__level", F.lit(0)), "reached")]
+    frontier, depth, stride = reached[0].select("__fk", "__id"), 0, 1
+    while level == 0 or depth < level:
+        steps = min(stride, level - depth) if level else stride
+        found = _onward(frontier, links, depth, steps)
+        fresh = written(_unreached(found, functools.reduce(DataFrame.union, reached)), "reached")
+        depth, stride = depth + steps, min(STRIDE, 2 * stride)
+        if fresh.isEmpty():
+            break
+        reached.append(fresh)
+        frontier = fresh.where(F.col("__level") == depth).select("__fk", "__id")
+    return functools.reduce(DataFrame.union, reached).where("__level > 0")
+
+
+def _onward(frontier: DataFrame, links: DataFrame, depth: int, steps: int) -> DataFrame:
+    """(__fk, __id, __level): what lies 1 to ``steps`` links behind the frontier, which is ``depth`` deep."""
+    out, now = [], frontier
+    for k in range(1, steps + 1):
+        now = now.join(links, now["__id"] == links["__from"]).select("__fk", F.col("__to").alias("__id")).distinct()
+        out.append(now.withColumn("__level", F.lit(depth + k)))
+    return functools.reduce(DataFrame.union, out).groupBy("__fk", "__id").agg(F.min("__level").alias("__level"))
+
+
+def _unreached(found: DataFrame, before: DataFrame) -> DataFrame:
+    return found.join(before.select("__fk", "__id"), ["__fk", "__id"], "left_anti").select("__fk", "__id", "__level")
 
 
 def semi(parent: DataFrame, column: str, keys: DataFrame, flag: str) -> DataFrame:

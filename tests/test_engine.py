@@ -133,3 +133,49 @@ def test_frame_plan(spark, data):
     df = star_engine(spark, data).frame("{ orders(where: {totalprice: {gt: 1000}}) { items { orderkey } } }")
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(o_totalprice), GreaterThan(o_totalprice,1000.0)]" in plan and "ReadSchema: struct<o_orderkey:bigint,o_totalprice:double>" in plan and "Python" not in plan
+
+
+def test_failures_are_errors_and_undone(spark):
+    """Whatever fails on the cluster is an error of the operation, and leaves nothing behind."""
+    e = blog.engine(spark)
+    r = e.execute('{ users(where: {name: {regex: "("}}) { items { id } } }')
+    assert r["data"] is None and len(r["errors"]) == 1 and "\n" not in r["errors"][0]["message"]
+    r = e.execute('mutation { createTag(input: {name: "green"}) { id } deleteTag(where: {name: {regex: "("}}) }')
+    assert r["data"] is None and r["errors"]
+    assert [t["name"] for t in data(e.execute("{ tagList(sort: {id: ASC}) { name } }"))["tagList"]] == ["red", "blue"]
+    r = e.execute('mutation { updateUser(where: {name: {regex: "["}}, input: {name: "x"}) { id } }')
+    assert r["errors"] and data(e.execute("{ users { total } }"))["users"]["total"] == 3
+
+
+def test_stamps_are_frozen(spark):
+    e = blog.engine(spark, {"classes": {"User": {"deleted_at": "updated_at"}}})
+    assert data(e.execute("mutation { deleteUser(id: 1) }"))["deleteUser"] == 1
+    read = lambda: e.image("User").where("id = 1").first()["updated_at"]
+    first = read()
+    assert first is not None and read() == first
+    e = blog.engine(spark)
+    told = data(e.execute('mutation { updateUser(id: 1, input: {name: "Al"}) { updatedAt } }'))["updateUser"]["updatedAt"]
+    assert e.image("User").where("id = 1").first()["updated_at"].isoformat() == told
+    assert e.execute('mutation { updateUser(id: 1, input: {createdAt: "2020-01-01"}) { id } }')["errors"]
+    assert e.execute('mutation { updateUser(id: 1, input: {id: 9}) { id } }')["errors"]
+
+
+def test_users_are_stamped(spark):
+    from nestq.engine import Engine
+    from nestq.sources.catalog import Catalog, Options
+    from nestq.sources.loaders import TableSource
+
+    notes = spark.createDataFrame([(1, "a", None, None, None, None)], "id int not null, text string, created_by int, updated_by int, deleted_at timestamp_ntz, deleted_by int")
+    e = Engine(spark, Catalog(Options()).with_source(TableSource(spark, {"notes": notes}, {"notes": {"primary": ["id"]}})).build())
+    data(e.execute('mutation { createNote(input: {id: 2, text: "b"}) { id } updateNote(id: 1, input: {text: "c"}) { id } }', user=7))
+    assert [(r["created_by"], r["updated_by"]) for r in e.image("Note").orderBy("id").collect()] == [(None, 7), (7, 7)]
+    data(e.execute("mutation { deleteNote(id: 2) }", user=8))
+    assert [r["deleted_by"] for r in e.image("Note").orderBy("id").collect()] in ([None, 8], [None])
+
+
+def test_images_are_written_out_now_and_then(spark):
+    e = blog.engine(spark)
+    for k in range(18):
+        data(e.execute(f'mutation {{ updateTag(id: 1, input: {{name: "n{k}"}}) {{ id }} upsertTag(input: {{id: {100 + k}, name: "t"}}) {{ id }} }}'))
+    assert data(e.execute("{ tags { total } }"))["tags"]["total"] == 20
+    assert "nestq-image" in e.image("Tag")._jdf.queryExecution().toString() and e.image("Tag").where("id = 1").first()["name"] == "n17"
