@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import numpy as np
@@ -14,11 +16,26 @@ from pyspark.sql import functions as F
 
 #: What a worker holds of its input at a time: rows, and bytes where Spark can tell.
 BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1000", "spark.sql.execution.arrow.maxBytesPerBatch": "8388608"}
+#: Environment of Python workers: what a task has freed goes back to the machine, as workers are used again for other tasks.
+FRUGAL = {"MALLOC_ARENA_MAX": "2", "MALLOC_TRIM_THRESHOLD_": "1048576", "MALLOC_MMAP_THRESHOLD_": "1048576", "ARROW_DEFAULT_MEMORY_POOL": "system"}
 REPO_ROOT = str(Path(__file__).resolve().parents[2])
 
 
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session with these settings; the caller's own come back at the end."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    try:
+        for name, value in values.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+
+
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package from the place the driver has it, and hand them texts in small batches.
+    """Let Python workers import this package from the place the driver has it, be frugal with memory, and get texts in small batches.
 
     A cluster that ships the package with ``--py-files`` is not affected: the path is only appended.
     """
@@ -28,13 +45,17 @@ def ready(spark: SparkSession) -> SparkSession:
     paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
     if REPO_ROOT not in paths:
         env["PYTHONPATH"] = os.pathsep.join([*paths, REPO_ROOT])
+    for name, value in FRUGAL.items():
+        env.setdefault(name, value)
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` of the session, else one of our own (single machine)."""
+    """The folder all executors share: ``spark.checkpoint.dir`` of the session; on a single machine else one of our own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "nestq-shared")
     return found.rstrip("/")
 
@@ -51,17 +72,21 @@ def forget(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+#: Whether Spark deletes the shuffle files of a query as soon as it has ended.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Kept:
     """A DataFrame read back from a table in the shared folder, and that table's path.
 
-    Once it is written, the shuffle files that led to it are of no more use; Spark deletes them when
-    the driver's garbage is collected, so that is asked for.
+    Once it is written, the shuffle files that led to it are of no more use, so they are deleted.
     """
 
     def __init__(self, spark: SparkSession, df: DataFrame, label: str):
         self.spark, self.path = spark, scratch(spark, label)
-        df.write.parquet(self.path)
-        spark.sparkContext._jvm.System.gc()
+        with settings(spark, {CLEAN_UP: "true"}):
+            df.write.parquet(self.path)
+        spark.sparkContext._jvm.System.gc()  # broadcasts and plans of ended queries stay with the driver until its garbage is collected
         self.df = spark.read.schema(df.schema).parquet(self.path)
 
     def forget(self) -> None:
