@@ -3,9 +3,9 @@
 For every language the bytes that follow each context of up to ORDER bytes are counted on a bounded
 sample of labelled texts. A context is kept when it was seen often enough; a byte that is new in a context costs
 an escape to the next shorter one (escape method C). Statistics are frozen after training, so a
-byte's code length depends on the longest kept context before it and nothing else: contexts of
-all languages become the states of one automaton with a table of exact code lengths, and
-texts are scored by walking it, many pieces of text side by side.
+byte's code length depends on the longest kept context before it and nothing else: the contexts of a
+language become the states of an automaton with a table of exact code lengths, and
+texts are scored by walking each language's, many pieces of text side by side. So the model grows with the languages and no faster.
 """
 
 from __future__ import annotations
@@ -22,8 +22,8 @@ from pyspark.sql import types as T
 from nestq.llm.common import ready
 
 ORDER = 4
-#: Bounds of the training sample: bytes per language, and languages (the most frequent ones).
-SAMPLE_BYTES, MAX_LANGUAGES = 400_000, 64
+#: Bound of the training sample: bytes per language, from pieces of this many characters at most.
+SAMPLE_BYTES, SAMPLE_PIECE = 400_000, 2000
 #: Contexts of two bytes and more are kept from this many occurrences on.
 MIN_SEEN = 6
 UNDETERMINED = "und"
@@ -33,10 +33,10 @@ TEMPERATURE = 0.05
 
 
 class Ppm:
-    """Frozen model. ``move[state, symbol]`` and ``cost[state, symbol, language]`` (bits)."""
+    """Frozen model. For each language ``move[state, symbol]`` and ``cost[state, symbol]`` (bits)."""
 
-    def __init__(self, languages: list[str], symbol: np.ndarray, move: np.ndarray, cost: np.ndarray, order: int):
-        self.languages, self.symbol, self.move, self.cost, self.order = languages, symbol, move, cost, order
+    def __init__(self, languages: list[str], symbol: np.ndarray, tables: list[tuple[np.ndarray, np.ndarray]], order: int):
+        self.languages, self.symbol, self.tables, self.order = languages, symbol, tables, order
 
     def code_lengths(self, data: list[bytes]) -> np.ndarray:
         """Bits of each text under each language."""
@@ -51,25 +51,28 @@ class Ppm:
         owner, begin = np.concatenate(texts), np.concatenate(begins)
         size = np.fromiter(map(len, data), np.int64, len(data))
         base = np.concatenate([[0], np.cumsum(size)[:-1]])
-        joined = self.symbol[np.frombuffer(b"".join(data) + b"\0", np.uint8)]
+        joined = self.symbol[np.frombuffer(b"".join(data) + b"\0", np.uint8)].astype(np.int32)
         length = np.minimum(PIECE, size[owner] - begin)
         early = np.minimum(self.order, begin)
         by_length = np.argsort(-length, kind="stable")
         owner, begin, length, early = owner[by_length], begin[by_length], length[by_length], early[by_length]
         at = base[owner] + begin
-        state = np.zeros(len(owner), np.int32)
-        for k in range(self.order, 0, -1):
-            use = early >= k
-            s = joined[np.where(use, at - k, 0)]
-            state = np.where(use, self.move[state, s], state)
-        bits = np.zeros((len(owner), len(self.languages)), np.float32)
         live = np.searchsorted(-length, -np.arange(PIECE) - 0.5)  # pieces longer than each step
-        for step in range(int(length[0])):
-            n = live[step]
-            s = joined[at[:n] + step]
-            bits[:n] += self.cost[state[:n], s]
-            state[:n] = self.move[state[:n], s]
-        np.add.at(total, owner, bits.astype(np.float64))
+        for li, (move, cost) in enumerate(self.tables):
+            width = move.shape[1]
+            onward, price = move.ravel() * width, cost.ravel()  # a state is where its row begins
+            state = np.zeros(len(owner), np.int32)
+            for k in range(self.order, 0, -1):
+                use = early >= k
+                s = joined[np.where(use, at - k, 0)]
+                state = np.where(use, onward[state + s], state)
+            bits = np.zeros(len(owner), np.float32)
+            for step in range(int(length[0])):
+                n = live[step]
+                cell = state[:n] + joined[at[:n] + step]
+                bits[:n] += price[cell]
+                state[:n] = onward[cell]
+            np.add.at(total[:, li], owner, bits.astype(np.float64))
         return total
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
@@ -105,52 +108,53 @@ class Ppm:
 def train(samples: dict[str, list[str]], order: int = ORDER, min_seen: int = MIN_SEEN) -> Ppm:
     """The frozen model of the sample texts of each language."""
     languages = sorted(samples)
-    counts: list[list[dict[bytes, Counter]]] = []
-    for lang in languages:
-        levels: list[dict[bytes, Counter]] = [{} for _ in range(order + 1)]
-        data = [t.encode("utf-8", "surrogatepass") for t in samples[lang]]
-        for k in range(order + 1):
-            grams: Counter = Counter()
-            for d in data:
-                grams.update(d[i : i + k + 1] for i in range(len(d) - k))
-            level = levels[k]
-            for g, n in grams.items():
-                level.setdefault(g[:-1], Counter())[g[-1]] += n
-        for k in range(order, 1, -1):  # rare contexts go; a context stays when one that extends it does
-            longer = {c[1:] for c in levels[k + 1]} if k < order else set()
-            levels[k] = {c: f for c, f in levels[k].items() if sum(f.values()) >= min_seen or c in longer}
-        counts.append(levels)
-    seen = sorted({b for levels in counts for f in levels[0].values() for b in f})
+    data = {lang: [t.encode("utf-8", "surrogatepass") for t in samples[lang]] for lang in languages}
+    seen = sorted({b for texts in data.values() for d in texts for b in set(d)})
     symbol = np.full(256, len(seen), np.uint8 if len(seen) < 256 else np.uint16)
     symbol[seen] = np.arange(len(seen))
-    width = len(seen) + 1
-    states = {b""} | {c for levels in counts for level in levels for c in level}
+    return Ppm(languages, symbol, [_automaton(_contexts(data[lang], order, min_seen), seen, order) for lang in languages], order)
+
+
+def _contexts(data: list[bytes], order: int, min_seen: int) -> list[dict[bytes, Counter]]:
+    """By length, the kept contexts of a language and how often each byte follows them."""
+    levels: list[dict[bytes, Counter]] = [{} for _ in range(order + 1)]
+    for k in range(order + 1):
+        grams: Counter = Counter()
+        for d in data:
+            grams.update(d[i : i + k + 1] for i in range(len(d) - k))
+        level = levels[k]
+        for g, n in grams.items():
+            level.setdefault(g[:-1], Counter())[g[-1]] += n
+    for k in range(order, 1, -1):  # rare contexts go; a context stays when one that extends it does
+        longer = {c[1:] for c in levels[k + 1]} if k < order else set()
+        levels[k] = {c: f for c, f in levels[k].items() if sum(f.values()) >= min_seen or c in longer}
+    return levels
+
+
+def _automaton(levels: list[dict[bytes, Counter]], seen: list[int], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of one language: the state that follows each state and symbol, and the symbol's cost there."""
+    width, place = len(seen) + 1, {b: i for i, b in enumerate(seen)}
+    states = {b""} | {c for level in levels for c in level}
     states |= {c[:k] for c in states for k in range(len(c))}  # an automaton needs all beginnings
+    states |= {c[k:] for c in states for k in range(len(c))}
     named = sorted(states, key=lambda c: (len(c), c))
     number = {c: i for i, c in enumerate(named)}
     move = np.zeros((len(named), width), np.int32)
-    cost = np.zeros((len(named), width, len(languages)), np.float32)
-    start = math.log2(256)
-    for c in named:
-        i = number[c]
-        shorter = number[c[1:]] if c else 0  # suffixes of kept contexts are kept: their number is smaller
-        while c and c[1:] not in number:
-            raise AssertionError("a suffix of a context is missing")
-        move[i] = move[shorter] if c else 0
-        for b in seen if len(c) < order else ():
-            if c + bytes([b]) in number:
-                move[i, symbol[b]] = number[c + bytes([b])]
-        for li, levels in enumerate(counts):
-            followers = levels[len(c)].get(c)
-            below = cost[shorter, :, li] if c else np.full(width, start, np.float32)
-            if not followers:
-                cost[i, :, li] = below
-                continue
+    cost = np.full((len(named), width), math.log2(256), np.float32)
+    for i, c in enumerate(named):  # shorter contexts come first
+        if c:
+            cost[i] = cost[number[c[1:]]]
+        if followers := levels[len(c)].get(c):
             total, kinds = sum(followers.values()), len(followers)
-            cost[i, :, li] = below - math.log2(kinds / (total + kinds))
+            cost[i] -= math.log2(kinds / (total + kinds))
             for b, n in followers.items():
-                cost[i, symbol[b], li] = -math.log2(n / (total + kinds))
-    return Ppm(languages, symbol, move, cost, order)
+                cost[i, place[b]] = -math.log2(n / (total + kinds))
+        if c:
+            move[i] = move[number[c[1:]]]
+        for k, b in enumerate(seen if len(c) < order else ()):
+            if (to := number.get(c + bytes([b]))) is not None:
+                move[i, k] = to
+    return move, cost
 
 
 def held_out(doc_id: Column) -> Column:
@@ -159,22 +163,22 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(labelled: DataFrame, sample_bytes: int = SAMPLE_BYTES, seed: int = 7) -> Ppm:
-    """Train on ``labelled`` (text, lang), a sample of whole texts of about ``sample_bytes`` per language.
+    """Train on ``labelled`` (text, lang), a sample of about ``sample_bytes`` per language.
 
-    All labelled rows are counted first; each language then keeps the share of its texts that
-    makes up the bound, picked by a hash of the text. No text over an eighth of the bound is sampled, so
-    the sample cannot pass it by much.
+    All labelled texts are counted first. Each is cut into pieces of SAMPLE_PIECE characters, however long it is, and every language
+    keeps the share of its pieces that makes up the bound, picked by a hash; a language with less is taken whole, and none is left out.
     """
-    short = labelled.where((F.octet_length("text") <= sample_bytes // 8) & (F.octet_length("text") > 0) & F.col("lang").isNotNull())
-    sizes = short.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()
+    real = labelled.where((F.octet_length("text") > 0) & F.col("lang").isNotNull())
+    sizes = real.groupBy("lang").agg(F.sum(F.octet_length("text")).alias("n")).orderBy("lang").collect()
     if not sizes:
         return train({})
-    share = F.lit(0.0)
-    for r in sizes:
-        share = F.when(F.col("lang") == r["lang"], min(1.0, sample_bytes / r["n"])).otherwise(share)
-    picked = short.where(F.pmod(F.xxhash64("text", F.lit(seed)), F.lit(1 << 30)) < share * (1 << 30)).select("lang", "text")
+    starts = F.sequence(F.lit(1), F.length("text"), F.lit(SAMPLE_PIECE))
+    share = F.element_at(F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min(1.0, sample_bytes / r["n"]))]), F.col("lang"))
+    kept = F.filter(starts, lambda at: F.pmod(F.xxhash64("text", at, F.lit(seed)), F.lit(1 << 30)) < F.col("share") * (1 << 30))
+    picked = real.withColumn("share", share).withColumn("starts", kept).where(F.size("starts") > 0)
+    pieces = picked.select("lang", F.explode(F.transform("starts", lambda at: F.substring("text", at, F.lit(SAMPLE_PIECE)))).alias("text"))
     samples: dict[str, list[str]] = {r["lang"]: [] for r in sizes}
-    for r in picked.collect():
+    for r in pieces.collect():
         samples[r["lang"]].append(r["text"])
     return train({k: sorted(set(v)) for k, v in samples.items() if v})
 
@@ -185,7 +189,8 @@ def identify(documents: DataFrame, labelled: DataFrame | None = None, model: Ppm
     Trains on ``labelled`` (text, lang; by default the rows of ``documents`` that are not held out), or takes
     ``model``. Only ``text`` is looked at in a prediction. Null text, and text without a letter, is
     UNDETERMINED with score 0, as is all text when there is nothing to learn from. Existing columns
-    lang_pred and score are replaced. The model that workers get holds at most some ten thousand contexts per language.
+    lang_pred and score are replaced; repeated rows come out alike; texts are read whole, however long; an empty table gives an empty result. The model
+    that workers get holds at most some ten thousand contexts per language.
     """
     spark = ready(documents.sparkSession)
     if model is None:
