@@ -7,8 +7,8 @@ picks its l by what the sketch says its prefix would cost: where the prefix hold
 tokens, a longer prefix that must match several times verifies less.
 
 Candidates are verified on whole sets. As the join serves classes and components, equal sets are
-one class from the start, and no pair is looked at whose ends are known to be connected: rounds of
-(class, pivot of its token) pairs first connect what is plainly alike, in time linear in the index;
+one class from the start, and no pair is looked at whose ends are known to be connected: rounds in which every class
+is compared with one pivot first connect what is plainly alike, in time linear in the index;
 then all remaining pairs between different components are enumerated and verified.
 """
 
@@ -34,6 +34,10 @@ MOST_MATCHES, TOKEN_COST = 4, 4.0
 HOT = 4096
 #: Bits of the filter through which sets are fetched.
 FILTER_BITS = 1 << 25
+#: Bits of a set's parities (a multiple of 64).
+PARITIES = 256
+#: Pivots of a token in a round; rounds go on while more than this share of the pairs they try are links.
+PIVOTS, PROGRESS = 16, 0.15
 
 
 def shingles(text: str | None, known: WordHashes, n: int = SHINGLE) -> np.ndarray:
@@ -51,25 +55,31 @@ def shingles(text: str | None, known: WordHashes, n: int = SHINGLE) -> np.ndarra
     return np.unique(mixed(total))
 
 
+def _fingerprint(tokens: np.ndarray) -> bytes | None:
+    """A 128-bit hash of a set; none of an empty one."""
+    return xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None
+
+
+def _parities(tokens: np.ndarray) -> list[int]:
+    """PARITIES bits, each the parity of the number of tokens that are dealt to it: bits in which two sets differ tell at least as many tokens."""
+    odd = np.bincount((tokens >> np.uint64(40) & np.uint64(PARITIES - 1)).astype(np.int64), minlength=PARITIES) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8").tolist()
+
+
 def least_overlap(n: int, num: int = NUM, den: int = DEN) -> int:
     """Tokens that a set of n shares with any set that is similar enough."""
     return -(-n * num // den)
 
 
-def overlap_needed(n: int, m: int, num: int = NUM, den: int = DEN) -> int:
-    """Least overlap of sets of n and m that are similar enough."""
-    return -(-(n + m) * num // (num + den))
-
-
 def _batches(rows: list[tuple], kinds: list, names: list[str]) -> pa.RecordBatch:
     cols = zip(*rows, strict=True) if rows else ([] for _ in names)
     return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(cols, kinds, strict=True)], names)
 
 
 def _described(docs: DataFrame, n_cells: int = CELLS) -> Kept:
-    """One pass over all texts. Rows of kind 0: (doc_id, n, fingerprint of the set); of kind 1: a slice of the task's share of the sketch."""
-    names = ["kind", "doc_id", "n", "fp", "slice", "cells"]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+    """One pass over all texts. Rows of kind 0: (doc_id, n, fingerprint and parities of the set); of kind 1: a slice of the task's share of the sketch."""
+    names = ["kind", "doc_id", "n", "fp", "parity", "slice", "cells"]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
 
     def run(batches):
         known, cells = WordHashes(), np.zeros(n_cells, np.uint32)
@@ -77,8 +87,7 @@ def _described(docs: DataFrame, n_cells: int = CELLS) -> Kept:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 s = shingles(text, known)
-                fp = xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None
-                rows.append((0, doc_id, len(s), fp, None, None))
+                rows.append((0, doc_id, len(s), _fingerprint(s), _parities(s) if len(s) else None, None, None))
                 np.add.at(cells, (s & np.uint64(n_cells - 1)).astype(np.int64), 1)
             yield _batches(rows, kinds, names)
         step = n_cells // SLICES
@@ -86,10 +95,10 @@ def _described(docs: DataFrame, n_cells: int = CELLS) -> Kept:
         for k in range(SLICES):
             part = cells[k * step : (k + 1) * step]
             if part.any():
-                rows.append((1, None, None, None, k, zlib.compress(part.astype("<u4").tobytes(), 1)))
+                rows.append((1, None, None, None, None, k, zlib.compress(part.astype("<u4").tobytes(), 1)))
         yield _batches(rows, kinds, names)
 
-    schema = "kind int, doc_id long, n long, fp binary, slice int, cells binary"
+    schema = "kind int, doc_id long, n long, fp binary, parity array<long>, slice int, cells binary"
     return Kept(docs.sparkSession, docs.select("doc_id", "text").mapInArrow(run, schema), "described")
 
 
@@ -176,11 +185,19 @@ def _index(docs: DataFrame, sketch, bitmap, hot: int) -> DataFrame:
 
 
 def _could(x: str, y: str):
-    """Whether two postings of one token leave an overlap that is large enough, by size and position."""
+    """Whether two postings of one token can be of similar sets, and count as a match of them.
+
+    Sizes must fit; the token must lie in both prefixes that the overlap needed by just these two sizes calls for (much
+    shorter than a prefix that serves any partner: about a seventh of sets of one size); and
+    the tokens before and behind it must leave that overlap possible.
+    """
     n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
     small, large = F.least(n, m), F.greatest(n, m)
+    need = F.floor(((n + m).cast("long") * NUM + (NUM + DEN - 1)) / (NUM + DEN))
+    l = F.least(f"{x}.l", f"{y}.l")
     left = F.least(n - F.col(f"{x}.pos"), m - F.col(f"{y}.pos"))
-    return (small.cast("long") * DEN >= large.cast("long") * NUM) & ((F.least(F.col(f"{x}.pos"), F.col(f"{y}.pos")) + left).cast("long") * (NUM + DEN) >= (n + m).cast("long") * NUM)
+    in_prefixes = (F.col(f"{x}.pos") < n - need + l) & (F.col(f"{y}.pos") < m - need + l)
+    return (small.cast("long") * DEN >= large.cast("long") * NUM) & in_prefixes & (F.least(F.col(f"{x}.pos"), F.col(f"{y}.pos")) + left >= need)
 
 
 def _filter_of(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
@@ -245,32 +262,34 @@ def similar_documents(documents: DataFrame, id_column: str = "doc_id", text_colu
     spark = ready(documents.sparkSession)
     docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     described = _described(docs, n_cells)
-    rows = described.df.where("kind = 0").select("doc_id", "n", "fp")
+    rows = described.df.where("kind = 0").select("doc_id", F.col("n").cast("int").alias("n"), "fp", "parity")
     whole = rows.where("doc_id is not null and fp is not null")
     classes = Kept(spark, whole.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1"), "classes")
-    copies = Kept(spark, whole.join(classes.df, "fp").where("doc_id <> rep").select("doc_id", "rep"), "copies")
+    copies = Kept(spark, whole.join(classes.df, "fp").where("doc_id <> rep").select("doc_id", "rep", "fp").distinct(), "copies")
 
     sketch = spark.sparkContext.broadcast(_sketch(described.df, n_cells))
     texts = docs.where("doc_id is not null").toDF("rep", "text")
-    postings = _postings(texts, copies.df.select(F.col("doc_id").alias("rep")), sketch, hot)
-    links = _links(texts, postings)
+    postings = _postings(texts, copies.df.select(F.col("doc_id").alias("rep"), "fp"), sketch, hot)
+    nodes = whole.select(F.col("doc_id").alias("rep"), "n", *[F.get("parity", F.lit(k)).alias(f"p{k}") for k in range(PARITIES // 64)]).distinct()
+    links = _links(texts, postings, nodes)
+    postings.forget()
 
-    group = components(links.union(copies.df.toDF("a", "b")))
+    group = components(links.union(copies.df.select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))))
     out = rows.join(group.df.toDF("doc_id", "component_id"), "doc_id", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _postings(texts: DataFrame, copies: DataFrame, sketch, hot: int) -> Kept:
     """Index of all texts but copies: what can meet another posting, with the pivot of its token.
 
     Texts whose id the bitmap does not know are no copies; the others, copies and a few more, are
-    compared with the copies exactly.
+    compared with the copies exactly, by id and fingerprint.
     """
     spark = texts.sparkSession
     bitmap = spark.sparkContext.broadcast(_filter_of(copies))
     hashed = texts.withColumn("h", F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS)))
-    maybe = hashed.mapInArrow(_bitmap_hits(bitmap), "rep long, text string, h long")
-    unsure = maybe.join(copies, "rep", "left_anti").withColumn("h", F.lit(-1).cast("long"))
+    maybe = hashed.mapInArrow(_bitmap_hits(bitmap), "rep long, text string, h long, fp binary")
+    unsure = maybe.join(copies, ["rep", "fp"], "left_anti").select("rep", "text", F.lit(-1).cast("long").alias("h"))
     index = _index(hashed.unionByName(unsure), sketch, bitmap, hot)
     same = Window.partitionBy("token", "salt")
     pivot = F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "n", "pos", "l"))
@@ -280,9 +299,11 @@ def _postings(texts: DataFrame, copies: DataFrame, sketch, hot: int) -> Kept:
 
 def _bitmap_hits(bitmap):
     def run(batches):
+        known = WordHashes()
         for b in batches:
-            hit = _known_to(bitmap.value, b.column(2).to_numpy())
-            yield b.filter(pa.array(hit))
+            hit = b.filter(pa.array(_known_to(bitmap.value, b.column(2).to_numpy())))
+            fps = [_fingerprint(shingles(t, known)) for t in hit.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*hit.columns, pa.array(fps, pa.binary())], [*hit.schema.names, "fp"])
 
     return run
 
@@ -298,39 +319,80 @@ def _pairs(matches: DataFrame) -> DataFrame:
     return matches.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), F.min("l").alias("l")).where("m >= l").select("a", "b")
 
 
-def _links(texts: DataFrame, postings: Kept) -> DataFrame:
-    """Edges (a, b) of verified pairs that connect all documents that links connect."""
+def _best(matches: DataFrame, of: str) -> DataFrame:
+    """One pair (a, b) for each ``of``: that with most matches."""
+    counted = matches.groupBy(*dict.fromkeys(["a", "b", of])).agg(F.count(F.lit(1)).alias("m"))
+    return counted.groupBy(of).agg(F.max(F.struct("m", F.xxhash64("a", "b").alias("h"), "a", "b")).alias("s")).select("s.a", "s.b")
+
+
+def _apart(x: str, y: str):
+    """In how many bits the parities of two sets differ: in no more tokens than that do the sets."""
+    return sum((F.bit_count(F.col(f"{x}.p{k}").bitwiseXOR(F.col(f"{y}.p{k}"))) for k in range(PARITIES // 64)), F.lit(0))
+
+
+def _near(x: str, y: str):
+    """Whether the parities of two sets differ in no more bits than similar sets of these sizes do in tokens."""
+    n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+    return _apart(x, y) <= n + m - 2 * F.floor(((n + m).cast("long") * NUM + (NUM + DEN - 1)) / (NUM + DEN))
+
+
+def _links(texts: DataFrame, postings: Kept, nodes: DataFrame) -> DataFrame:
+    """Edges (a, b) of verified pairs that connect all documents that links connect.
+
+    At first every document is compared with one other, the pivot with which it shares most tokens. Then, round by round, every
+    component is compared with the nearest by parities of the pivots drawn for its tokens, if they leave a link possible. That connects
+    large groups in work linear in the index. When few of these pairs are links any more, all pairs between
+    components that match often enough, and whose parities leave a link possible, are verified.
+    """
     spark = texts.sparkSession
-    found = _check(texts, _pairs(_with_pivots(postings.df)))
-    every = found.df
+    tried = Kept(spark, _best(_with_pivots(postings.df), "b"), "tried")
+    every, rounds, open_ = _check(texts, tried.df).df, 0, None
     while True:
+        rounds += 1
         group = components(every)
-        own = F.coalesce("component", "rep").alias("comp")
-        located = postings.df.drop("p").join(group.df.toDF("rep", "component"), "rep", "left").select("token", "rep", "n", "pos", "l", own)
-        located = Kept(spark, located, "located")
+        own = group.df.toDF("rep", "comp")
+        if open_ is None:
+            placed = postings.df.drop("p").join(nodes.join(own, "rep", "left"), ["rep", "n"])
+        else:
+            placed = open_.df.drop("comp").join(own, "rep", "left")
+        located = Kept(spark, placed.withColumn("comp", F.coalesce("comp", "rep")), "located")
+        if open_ is not None:
+            open_.forget()
         mixed_tokens = located.df.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("token")
         open_ = Kept(spark, located.df.join(mixed_tokens, "token", "left_semi"), "open")
         located.forget()
-        one = open_.df.groupBy("token", "comp").agg(F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "n", "pos", "l")).alias("s")).select("token", "s.*")
-        pivot = F.min(F.struct("h", "rep", "n", "pos", "l")).over(Window.partitionBy("token"))
-        more = _check(texts, _pairs(_with_pivots(one.withColumn("p", pivot))))
-        if more.df.isEmpty():
-            break
+        group.forget()
+        turn = F.xxhash64("rep", F.lit(rounds))
+        drawn = F.min(F.struct(turn.alias("h"), *[c for c in open_.df.columns if c != "token"]))
+        pivots = open_.df.groupBy("token", F.pmod(turn, F.lit(PIVOTS)).alias("slot")).agg(drawn.alias("s")).select("token", "s.*")
+        x, y = open_.df.alias("x"), pivots.alias("y")
+        met = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & _could("x", "y") & _near("x", "y"))
+        ends = [F.col("y.rep").alias("a"), F.col("x.rep").alias("b")]
+        apart = (_apart("x", "y") / (F.col("x.n") + F.col("y.n"))).alias("apart")
+        fresh = met.select(*ends, apart, F.col("x.comp").alias("comp")).join(tried.df.union(tried.df.select("b", "a")).distinct(), ["a", "b"], "left_anti")
+        nearest = fresh.groupBy("comp").agg(F.min(F.struct("apart", "a", "b")).alias("s")).select("s.a", "s.b")
+        now = Kept(spark, nearest.distinct(), "tried")
+        more, n_tried = _check(texts, now.df), now.df.count()
         every = every.union(more.df)
+        before, tried = tried, Kept(spark, tried.df.union(now.df), "tried")
+        before.forget()
+        now.forget()
+        if more.df.count() <= n_tried * PROGRESS:
+            break
+    tried.forget()
     x, y = open_.df.alias("x"), open_.df.alias("y")
-    l = F.least("x.l", "y.l")
-    within = lambda s: F.col(f"{s}.pos") < F.col(f"{s}.n") - F.ceil(F.col(f"{s}.n") * NUM / DEN) + l
     on = (F.col("x.token") == F.col("y.token")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.rep") < F.col("y.rep"))
-    met = x.join(y, on & _could("x", "y") & within("x") & within("y"))
-    rest = _check(texts, _pairs(met.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), l.alias("l"))))
+    met = x.join(y, on & _could("x", "y") & _near("x", "y")).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.least("x.l", "y.l").alias("l"))
+    rest = _check(texts, _pairs(met))
+    open_.forget()
     return every.union(rest.df)
 
 
 def _with_pivots(postings: DataFrame) -> DataFrame:
-    """Matches (a, b, l) of postings with the pivot ``p`` of their token."""
+    """Matches (a, b) of postings with the pivot ``p`` of their token."""
     both = postings.select(F.struct("rep", "n", "pos", "l").alias("x"), F.col("p").alias("y"))
     both = both.where((F.col("x.rep") != F.col("y.rep")) & _could("x", "y"))
-    return both.select(F.col("y.rep").alias("a"), F.col("x.rep").alias("b"), F.least("x.l", "y.l").alias("l"))
+    return both.select(F.col("y.rep").alias("a"), F.col("x.rep").alias("b"))
 
 
 def _check(texts: DataFrame, pairs: DataFrame) -> Kept:
