@@ -13,6 +13,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,8 +28,10 @@ END_ID = 0
 SENTENCE_CUT, WORD_CUT = 8.0, 40.0
 #: The programme runs over about this many tokens at a time; what its last, open window holds goes on to the next run.
 BLOCK_TOKENS = 1 << 18
-#: Distinct pieces whose ids a worker remembers.
-REMEMBERED = 1_200_000
+#: Distinct pieces whose ids a task remembers (some 250 bytes each).
+REMEMBERED = 400_000
+#: Bits of a remembered id that say more of its piece than the id.
+ENDS, BREAKS = 1 << 31, 1 << 30
 #: Characters of texts that are encoded together.
 CHUNK_CHARS = 1 << 20
 #: Shortest sequence that is left unpadded on purpose (a power of two).
@@ -54,20 +57,6 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class _Grown:
-    """An array that grows."""
-
-    def __init__(self, dtype, first=()):
-        self.all, self.used = np.zeros(1 << 14, dtype), 0
-        self.add(list(first))
-
-    def add(self, values) -> None:
-        while len(self.all) < self.used + len(values):
-            self.all = np.concatenate([self.all, np.zeros_like(self.all)])
-        self.all[self.used : self.used + len(values)] = values
-        self.used += len(values)
-
-
 class PieceEncoder:
     """Ids of whole texts. Equal pieces are encoded once and remembered, up to a bound."""
 
@@ -76,61 +65,58 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.t = Tokenizer.from_file(path)
-        self.t.encode_special_tokens = True
+        self.special = _special(self.t)
         self._forget()
 
     def _forget(self) -> None:
-        """Pieces by number: where their ids begin in ``flat``, how many they are, whether a sentence ends behind or (a line break) before them."""
-        self.number: dict[str, int] = {}
-        self.flat, self.begin, self.size = _Grown("<u4"), _Grown(np.int64), _Grown(np.int64)
-        self.ends, self.breaks = _Grown(bool), _Grown(bool)
+        """``known``: the ids of a piece as bytes, with ENDS on the last where a sentence ends behind it, and BREAKS on the first where one ends before (a line break)."""
+        self.known: dict[str, bytes] = {}
 
     def _learn(self, pieces: list[str]) -> None:
-        ids: list[int] = []
-        sizes: list[int] = []
-        for e in self.t.encode_batch(pieces, add_special_tokens=False):
-            own = e.ids
-            ids += own
-            sizes.append(len(own))
-        self.begin.add(np.cumsum([self.flat.used, *sizes])[:-1])
-        self.size.add(sizes)
-        self.flat.add(ids)
-        self.ends.add([SENTENCE_END.search(p) is not None for p in pieces])
-        self.breaks.add(["\n" in p for p in pieces])
-        self.number.update(zip(pieces, range(len(self.number), len(self.number) + len(pieces)), strict=True))
+        encoded = [e.ids for e in self.t.encode_batch_fast(pieces, add_special_tokens=False)]
+        for ids, piece in zip(encoded, pieces, strict=True):
+            if SENTENCE_END.search(piece):
+                ids[-1] |= ENDS
+            if "\n" in piece:
+                ids[0] |= BREAKS
+        size = np.fromiter(map(len, encoded), np.int64, len(encoded))
+        raw = np.fromiter(chain.from_iterable(encoded), "<u4", int(size.sum())).tobytes()
+        ends = (np.cumsum(size) * 4).tolist()
+        self.known.update(zip(pieces, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True))
 
     def __call__(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Per text: its ids, and the positions after which a sentence ends."""
-        if len(self.number) > REMEMBERED:
+        if len(self.known) > REMEMBERED:
             self._forget()
-        pieces: list[str] = []
-        stops = [0]
+        split: list[list[str]] = []
         for text in texts:
-            pieces += PIECES.findall(text)
-            stops.append(len(pieces))
-        number = self.number
-        if unknown := [p for p in dict.fromkeys(pieces) if p not in number]:
+            if self.special and self.special.search(text):
+                pieces = []
+                for k, part in enumerate(self.special.split(text)):  # every second part is a special token
+                    pieces += [part] if k % 2 else PIECES.findall(part)
+                split.append(pieces)
+            else:
+                split.append(PIECES.findall(text))
+        known = self.known
+        if unknown := list(set(chain.from_iterable(split)).difference(known)):
             self._learn(unknown)
-        code = np.fromiter(map(number.__getitem__, pieces), np.int64, len(pieces))
-        size = self.size.all[code]
-        after = np.concatenate([[0], np.cumsum(size)])
-        ids = self.flat.all[np.repeat(self.begin.all[code] - after[:-1], size) + np.arange(after[-1])]
-        cut = np.zeros(after[-1] + 1, bool)
-        cut[after[1:][self.ends.all[code]]] = True
-        cut[after[:-1][self.breaks.all[code]]] = True  # a piece that begins with a line break begins after an end
-        for lo, hi in zip(stops, stops[1:], strict=False):
-            a, b = after[lo], after[hi]
+        raws = [b"".join(map(known.__getitem__, pieces)) for pieces in split]
+        told = np.frombuffer(b"".join(raws), "<u4")
+        cut = np.zeros(len(told) + 1, bool)
+        cut[1:] = told & ENDS
+        cut[:-1] |= (told & BREAKS).astype(bool)
+        ids, b = told & (BREAKS - 1), 0
+        for raw in raws:
+            a, b = b, b + len(raw) // 4
             yield ids[a:b], np.flatnonzero(cut[a + 1 : b + 1]) + 1
 
 
-_ENCODERS: dict[str, PieceEncoder] = {}
-
-
-def encoder(path: str) -> PieceEncoder:
-    """The worker's own encoder; what it remembers serves all tasks of the worker."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = PieceEncoder(path)
-    return _ENCODERS[path]
+def _special(tokenizer) -> re.Pattern | None:
+    """What finds the added tokens of a vocabulary, which are cut out of a text before anything else."""
+    added = [t for t in tokenizer.get_added_tokens_decoder().values() if t.content]
+    if any(t.lstrip or t.rstrip or t.single_word for t in added):
+        raise ValueError("added tokens that take in white space, or whole words only, are not supported")
+    return re.compile("(" + "|".join(re.escape(t.content) for t in sorted(added, key=lambda t: -len(t.content))) + ")") if added else None
 
 
 def in_chunks(texts: list[str], most: int = CHUNK_CHARS) -> Iterator[list[str]]:
@@ -190,11 +176,11 @@ def best_cuts(ends: list[int], costs: list[float], window: int = WINDOW, open_en
         while len(queue) > head and reach[queue[-1]] >= value:
             queue.pop()
         queue.append(j)
-    chain = []
+    cuts = []
     while last:
-        chain.append(at[last])
+        cuts.append(at[last])
         last = back[last]
-    return chain[::-1]
+    return cuts[::-1]
 
 
 def _least(best: list[float], at: list[int], j: int, lowest: int) -> tuple[float, int]:
@@ -244,14 +230,6 @@ class Packer:
         cuts = best_cuts(ends, costs, self.window, open_end=not final)
         if not final:  # the last window goes on
             cuts = cuts[:-1]
-        elif cuts:  # the stream's last window is cut into powers of two, which are not padded
-            begin = cuts[-2] if len(cuts) > 1 else 0
-            rest, tail = cuts[-1] - begin, []
-            for k in reversed(range(rest.bit_length())):
-                if rest >> k & 1:
-                    begin += 1 << k
-                    tail.append(begin)
-            cuts[-1:] = tail
         begin, d, inside = 0, 0, 0
         for end in cuts:
             offset, length = 0, end - begin
@@ -274,16 +252,16 @@ class Packer:
 def pack(documents: DataFrame, tokenizer: str = TOKENIZER, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Pieces of all documents, packed into sequences of at most ``window`` tokens (a power of two).
 
-    A document is its ids and a closing END_ID; null or empty text is that id alone. Each id lies in one piece:
+    A document is the ids of its whole text, special tokens in it included, and a closing END_ID; null or empty text is that id alone. Each id lies in one piece:
     ids ``start`` to ``start + length`` of its document lie at ``offset`` of ``sequence_id``.
     Repeated rows are packed each by itself, a null id stays null, further columns are
-    ignored, an empty table gives no pieces. Partitions are packed independently, with memory for a
+    ignored, an empty table gives no pieces; a very long text is read whole and cut like any other. Partitions are packed independently, with memory for a
     block of documents only; the order is that of the partition.
     """
     ready(documents.sparkSession)
 
     def run(batches):
-        encode = encoder(tokenizer_path(tokenizer))
+        encode = PieceEncoder(tokenizer_path(tokenizer))  # the task's own: a worker that serves other tasks later holds nothing of it
         packer = Packer(TaskContext.get().partitionId() << 40, window)
         rows: list[tuple] = []
 

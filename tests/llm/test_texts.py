@@ -135,7 +135,6 @@ def test_pack_is_a_partition_of_all_ids(spark, data):
     texts = {r["doc_id"]: r["text"] for r in docs.collect()} | dict(extra)
     got = packing.pack(docs.union(spark.createDataFrame(extra, docs.schema)).repartition(3)).toPandas()
     t = Tokenizer.from_file(packing.tokenizer_path())
-    t.encode_special_tokens = True
     for d, own in got.sort_values("start").groupby("doc_id"):
         ids, at = np.array([*t.encode(texts[d] or "", add_special_tokens=False).ids, 0], "<u4"), 0
         for r in own.itertuples():
@@ -173,7 +172,6 @@ def test_pieces_equal_whole_texts():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.tokenizer_path())
-    t.encode_special_tokens = True
     encode, rng = packing.PieceEncoder(packing.tokenizer_path()), random.Random(3)
     parts = [*"ab'_ .,\n\t1é!-中½", "'s", "don't", "<|endoftext|>", "  ", " \n ", "\x1c", "́", " "]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
