@@ -20,9 +20,9 @@ MAX_EDITS = 2
 MIN_CHARS = 8
 #: From these lengths of the shorter line on, two lines may differ by one edit and by MAX_EDITS; shorter ones meet only when equal. A segment has 6 characters at least.
 ONE_EDIT, ALL_EDITS = 12, 20
-#: Letters that are counted to turn down pairs before verification, in groups of eight.
-COUNTED = (" etaonir", "hdslubgw")
-PAIRS_A_TASK = 20_000
+#: Characters that are counted to turn down pairs before verification, in groups of eight at most.
+COUNTED = (" etaonir", "hdslubgw", "01234567", "89.,:-/_")
+PAIRS_A_TASK = 2_000
 #: Bits of the filter through which the texts of candidates are fetched.
 FILTER_BITS = 1 << 22
 
@@ -163,10 +163,10 @@ def within_edits(a: Column, b: Column, most: int = MAX_EDITS, begin: Column | No
 
 
 def _letter_counts(line: Column, group: int) -> Column:
-    """How often each letter of a group occurs, up to 127, a byte each."""
+    """How often each character of a group occurs, up to 127, a byte each."""
     out = F.lit(0).cast("long")
     for k, c in enumerate(COUNTED[group]):
-        out = out.bitwiseOR(F.shiftleft(F.least(F.size(F.split(line, c)) - 1, F.lit(127)).cast("long"), 8 * k))
+        out = out.bitwiseOR(F.shiftleft(F.least(F.size(F.split(line, f"[{c}]")) - 1, F.lit(127)).cast("long"), 8 * k))
     return out
 
 
@@ -202,33 +202,41 @@ def near_lines(docs: DataFrame) -> tuple[Kept, Kept]:
     spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")  # a longer method would run uncompiled
     lines = _lines(docs)
     line = F.col("line")
-    counts = [f"counts{g}" for g in range(len(COUNTED))]
-    keys = F.struct(*[_letter_counts(line, g).alias(c) for g, c in enumerate(counts)], segment_keys().alias("own"), probe_keys().alias("probes"))
+    keys = F.struct(segment_keys().alias("own"), probe_keys().alias("probes"))
     made = measured(lines).select("h1", "h2", F.struct("doc_id", "at", "d1", "d2").alias("place"), keys.alias("x"))
     grouped = made.groupBy("h1", "h2").agg(F.min("place").alias("first"), F.count(F.lit(1)).alias("size"), F.first("x").alias("x"))
     distinct = Kept(spark, grouped.select("h1", "h2", F.col("h1").alias("key"), "first", "size", "x.*"), "lines")
 
-    own = distinct.df.select("key", *counts, F.explode("own").alias("k")).where("k is not null").alias("y")
-    probes = distinct.df.select("key", *counts, F.explode("probes").alias("k")).where("k is not null").alias("x")
+    # most lines meet no other: only for those that do are texts fetched and characters counted
+    sides = [distinct.df.select("key", F.explode(c).alias("k"), F.lit(c == "own").alias("own")) for c in ("own", "probes")]
+    postings = sides[0].union(sides[1]).where("k is not null")
+    shared = postings.groupBy("k").agg(F.max("own").alias("own"), F.count(F.lit(1)).alias("n")).where("own and n > 1").select("k")
+    # a task's part of the shared keys is small beside its part of all keys, which need not be sorted
+    meeting = Kept(spark, postings.join(shared.hint("shuffle_hash"), "k", "left_semi"), "meeting_lines")
+    wanted = Kept(spark, meeting.df.select("key").distinct().join(distinct.df.select("key", "first.*"), "key"), "wanted_lines")
+    bitmap = _bitmap(wanted.df, "d1")
+    of = docs.where(_bit_of(bitmap, F.col("d1")))
+    texts = _lines(of).select(F.col("h1").alias("key"), "d1", "d2", "at", "line").join(wanted.df.select("key", "d1", "d2", "at"), ["key", "d1", "d2", "at"])
+    counts = [f"counts{g}" for g in range(len(COUNTED))]
+    counted = [_letter_counts(line, g).alias(c) for g, c in enumerate(counts)]
+    texts = Kept(spark, texts.groupBy("key").agg(F.first("line").alias("line")).select("key", "line", *counted), "line_texts")
+
+    known = Kept(spark, meeting.df.join(texts.df.select("key", *counts), "key"), "counted_lines")
+    own, probes = known.df.where("own").alias("y"), known.df.where("not own").alias("x")
     apart = (F.col("x.k") == F.col("y.k")) & _counts_fit("x", "y")
     ends = [F.col("x.key").alias("a"), F.col("y.key").alias("b")]
     moved = probes.join(own, apart & (F.col("x.key") != F.col("y.key"))).select(*ends)
-    still = own.select("*").alias("x").join(own, apart & (F.col("x.key") > F.col("y.key"))).select(*ends)
+    still = known.df.where("own").alias("x").join(own, apart & (F.col("x.key") > F.col("y.key"))).select(*ends)
     met = moved.union(still).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     pairs = Kept(spark, met.distinct(), "line_pairs")
-
-    wanted = Kept(spark, pairs.df.select(F.col("a").alias("key")).union(pairs.df.select("b")).distinct().join(distinct.df.select("key", "first.*"), "key"), "wanted_lines")
-    bitmap = _bitmap(wanted.df, "d1")
-    of = docs.where(_bit_of(bitmap, F.col("d1")))
-    texts = _lines(of).select(F.col("h1").alias("key"), "d1", "d2", "at", "line").join(wanted.df.select("key", "d1", "d2", "at"), ["key", "d1", "d2", "at"])
-    texts = Kept(spark, texts.groupBy("key").agg(F.first("line").alias("line")), "line_texts")
+    plain = texts.df.select("key", "line")
+    both = pairs.df.join(plain.toDF("a", "la"), "a").join(plain.toDF("b", "lb"), "b")
     # a pair costs far more than its bytes tell, so pairs are dealt by number
-    dealt = pairs.df.repartition(max(1, min(100_000, pairs.df.count() // PAIRS_A_TASK)), "a", "b")
-    both = dealt.join(texts.df.toDF("a", "la"), "a").join(texts.df.toDF("b", "lb"), "b")
+    both = both.repartition(max(1, min(100_000, pairs.df.count() // PAIRS_A_TASK)), "a", "b")
     la, lb = F.col("la"), F.col("lb")
     near = both.withColumn("begin", _common_prefix(la, lb)).where(still_possible(la, lb, F.col("begin")))
     links = Kept(spark, near.where(within_edits(la, lb, MAX_EDITS, F.col("begin"), allowed_edits(F.least(F.length(la), F.length(lb))))).select("a", "b"), "line_links")
-    for k in (pairs, wanted, texts):
+    for k in (meeting, known, pairs, wanted, texts):
         k.forget()
     return distinct, links
 
