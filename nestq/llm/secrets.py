@@ -38,19 +38,18 @@ KINDS = (
     Kind("hex", r"[0-9a-f]{24,}", "secret", True, 24, 0, r"[0-9a-f]{24}"),
     Kind("identifier", r"""(?i:user(?:name)?|login|account|client_?id|key_?id)["']?\x20*[:=]\x20*["']?[A-Za-z0-9._@+-]{3,}""", "identifier", False, 0, 0, r"(?i)(?:user(?:name)?|login|account|client_?id|key_?id)[\"']?\x20*[:=]"),
     Kind("phrase", r"""(?i:pass(?:phrase|code)?|pwd|auth|credential|private_?key|signature)["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]{4,}""", "secret", False, 0, 0, r"(?i)(?:pass(?:phrase|code)?|pwd|auth|credential|private_?key|signature)[\"']?\x20*[:=]"),
-    Kind("opaque", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z0-9+/_-]{0,64}[0-9])(?=[A-Za-z0-9+/_-]{0,64}[A-Z])(?=[A-Za-z0-9+/_-]{0,64}[a-z])[A-Za-z0-9+/_-]{20,}={0,2}", "secret", False, 0, 0, r"[A-Za-z0-9+/_-]{20}"),
+    Kind("opaque", r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[a-z0-9+/_-]*+[A-Z])(?=[A-Z0-9+/_-]*+[a-z])[A-Za-z0-9+/_-]{20,}={0,2}", "secret", False, 0, 0, r"[A-Za-z0-9+/_-]{20}"),
     Kind("endpoint", r"""(?i:https?|ftps?|ssh|sftp|postgres(?:ql)?|mysql|mongodb|redis|amqps?|s3)://[^\s"'<>|]+""", "endpoint", False, 0, 0, r"://"),
     Kind("address", r"(?<![0-9.])(?:[0-9]{1,3}\.){3}[0-9]{1,3}(?::[0-9]{1,5})?(?![0-9.])", "endpoint", False, 0, 0, r"[0-9]\.[0-9]{1,3}\.[0-9]"),
 )
 
 
-def _matches(texts: DataFrame, kind: Kind, rank: int) -> DataFrame:
-    """(k1, k2, rank, nth, before, size, ok): every match of a kind, and the length of the text between it and the one before."""
+def _matches(kind: Kind, rank: int) -> Column:
+    """Every match of a kind in ``text``, as an array of (rank, nth, before, size, ok), with the length of the text between a match and the one before."""
     found = F.regexp_extract_all("text", F.lit(f"({kind.pattern})" if kind.group == 0 else kind.pattern), F.lit(0))
     between = F.split("text", kind.pattern, -1)
-    pairs = F.transform(found, lambda m, i: F.struct(F.length(F.get(between, i)).alias("before"), F.length(m).alias("size"), _long_enough(m, kind).alias("ok")))
-    hits = texts.where(F.col("text").rlike(kind.hint)).select("k1", "k2", F.posexplode(pairs).alias("nth", "m"))
-    return hits.select("k1", "k2", F.lit(rank).alias("rank"), "nth", "m.*")
+    one = lambda m, i: F.struct(F.lit(rank).alias("rank"), i.alias("nth"), F.length(F.get(between, i)).alias("before"), F.length(m).alias("size"), _long_enough(m, kind).alias("ok"))
+    return F.when(F.col("text").rlike(kind.hint), F.transform(found, one)).otherwise(F.array().cast("array<struct<rank:int,nth:int,before:int,size:int,ok:boolean>>"))
 
 
 def _long_enough(match: Column, kind: Kind) -> Column:
@@ -61,10 +60,8 @@ def _long_enough(match: Column, kind: Kind) -> Column:
 
 def find_spans(texts: DataFrame) -> DataFrame:
     """(k1, k2, rank, start, end) of all spans of all kinds, weak candidates included."""
-    rows = None
-    for rank, kind in enumerate(KINDS):
-        part = _matches(texts, kind, rank)
-        rows = part if rows is None else rows.unionByName(part)
+    every = F.concat(*[_matches(kind, rank) for rank, kind in enumerate(KINDS)])
+    rows = texts.select("k1", "k2", F.explode(every).alias("m")).select("k1", "k2", "m.*")
     rows = rows.groupBy("k1", "k2", "rank", "nth").agg(*[F.first(c).alias(c) for c in ("before", "size", "ok")])  # repeated rows are one text
     upto = Window.partitionBy("k1", "k2", "rank").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
     end = F.sum(F.col("before") + F.col("size")).over(upto)
