@@ -31,13 +31,14 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates, once."""
+    """The document with the smallest id of each group of near duplicates. Rows that repeat id and text come out once; different texts under one id all stay, as do rows without an id."""
     found = jaccard.similar_documents(docs)
     gone = Kept(spark, found.where("component_id <> doc_id").select("doc_id").distinct(), "near").df
     kept = docs.join(gone, "doc_id", "left_anti")
-    named = docs.where("doc_id is not null")
-    if not named.groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    repeated = Kept(spark, docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "repeated").df
+    if not repeated.isEmpty():
+        once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+        kept = kept.join(repeated, "doc_id", "left_anti").unionByName(once)
     return kept.select(*docs.columns)
 
 
