@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from nestq.operators.predicates import OPERATORS
+from nestq.operators.predicates import KEYS, NUMERIC, OPERATORS
 from nestq.operators.stats import BY_KIND, stats_kind
 from nestq.sources.catalog import Catalog, Entity, Field
 from nestq.sources.naming import lower_camel, plural
@@ -13,6 +13,8 @@ SECTIONS = ("scalars", "enums", "common", "types", "paging", "stats", "filters",
 BUILT_IN = {"ID", "Int", "Float", "String", "Boolean"}
 #: Fields that update inputs leave out. Fixed values.
 STAMPS = {"id", "createdAt", "updatedAt"}
+#: Operators that the schema declares for a scalar where they are fewer than the engine understands. Fixed values.
+DECLARED = {"ID": ("eq", "in", "gt", "ge", "lt", "le"), "Boolean": ("eq", "in"), "Json": ("is", "eq", "in", *KEYS)} | {s: tuple(op for op in NUMERIC if op != "ni") for s in ("Int", "Float", "DateTime", "Date")}
 #: What the operators mean. Fixed values.
 MEANING = {
     "is": "is null or not", "eq": "equal", "ne": "not equal", "in": "one of", "ni": "none of", "gt": "greater", "ge": "greater or equal", "lt": "less", "le": "less or equal",
@@ -111,8 +113,8 @@ def build(catalog: Catalog) -> list[Type]:
     used = {filter_type(f).removesuffix("WhereInput") for e in shown for f in e.columns if f.column}
     for scalar in sorted(used | {"Boolean", "DateTime", "Float", "ID", "Int", "Json", "String"}):
         members = []
-        for op in OPERATORS.get(scalar, OPERATORS["String"]):
-            if op == "ilike" or (op == "ni" and scalar == "Boolean"):
+        for op in DECLARED.get(scalar, OPERATORS["String"]):
+            if op in ("ilike", "ni"):
                 continue
             kind = "IsInput" if op == "is" else f"[{scalar}!]" if op in ("in", "ni") else "[String!]" if op in ("hasKeyAny", "hasKeyAll") else "String" if op in ("like", "iLike", "regex", "iRegex", "hasKey") else scalar
             members.append((op, kind, MEANING[op]))
