@@ -138,42 +138,50 @@ PATTERNS = (
     ("email", re.compile(r"(?<![\w.+-])[\w.+-]{1,64}@(?:[\w-]{1,63}\.){1,8}[A-Za-zА-Яа-я]{2,24}(?![\w-])")),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     ("ip", re.compile(r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])")),
+    ("ip6", re.compile(r"(?<![0-9A-Fa-f:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}|::(?:[0-9A-Fa-f]{1,4}:){1,6}[0-9A-Fa-f]{1,4})(?![0-9A-Fa-f:])")),
     ("card", re.compile(r"(?<![0-9A-Za-z+])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9A-Za-z])")),
     ("ssn", re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")),
     ("phone", re.compile(r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9A-Za-z])|(?<![0-9A-Za-z])\+[0-9]{8,15}(?![0-9A-Za-z])|(?<![0-9A-Za-z.-])(?:[0-9]{10}|[0-9]{3}-[0-9]{4})(?![0-9A-Za-z-]|\.[0-9])")),
 )
 HONORIFICS = {"mr": "m", "sir": "m", "herr": "m", "monsieur": "m", "señor": "m", "sr": "m", "господин": "m", "κύριος": "m", "mrs": "f", "ms": "f", "miss": "f", "frau": "f", "madame": "f", "mme": "f", "señora": "f", "sra": "f", "госпожа": "f", "κυρία": "f", "dr": "", "prof": ""}
-NAME = re.compile(r"\b(" + "|".join(sorted(HONORIFICS, key=len, reverse=True)) + r")\b(\.?[ ]+)([^\W\d_]+)((?:[ ][^\W\d_]+)?)", re.IGNORECASE)
+#: A part of a name: letters, with hyphens and apostrophes within, or an initial with its full stop.
+PART = r"[^\W\d_]\.(?=[ ][^\W\d_])|[^\W\d_]+(?:['’-][^\W\d_]+)*"
+NAME = re.compile(r"\b(" + "|".join(sorted(HONORIFICS, key=len, reverse=True)) + rf")\b(\.?[ ]+)((?:{PART})(?:[ ](?:{PART})){{0,2}})", re.IGNORECASE)
+SPLIT = re.compile(r"[^\W\d_]+")
 GENDER_OF = {n: (g, s) for (g, s), names in GIVEN_NAMES.items() for n in names}
 GIVEN_SPELLINGS = {x for n in GENDER_OF for x in (n.capitalize(), n.upper())}
 WORD = re.compile(r"[^\W\d_]+")
-MAY_HOLD = re.compile(r"[0-9@]")
+MAY_HOLD = re.compile(r"[0-9@]|::")
 MAY_NAME = re.compile(r"\b(?:" + "|".join(sorted(HONORIFICS, key=len, reverse=True)) + r")\b", re.IGNORECASE)
 
 
+def _uncased(c: str) -> bool:
+    """Whether a letter's script has no upper case."""
+    return c.isalpha() and c.lower() == c.upper()
+
+
 def detect(text: str) -> list[Entity]:
     """Entities in order, none overlapping: names behind an honorific and their parts wherever else the text has them, listed given names, and PATTERNS; where kinds overlap the one named first in PATTERNS holds."""
     found: list[Entity] = []
     if MAY_HOLD.search(text):
         for kind, pattern in PATTERNS:
-            if kind == "email" and "@" not in text:
+            if kind == "email" and "@" not in text or kind == "ip6" and text.count(":") < 2:
                 continue
             found += [Entity(kind, *m.span()) for m in pattern.finditer(text)]
     if MAY_NAME.search(text):
         for m in NAME.finditer(text):
-            for at in (3, 4):
-                word = m.group(at).strip()
-                if word and word[0].isupper():
-                    begin = m.end(at) - len(word)
-                    found.append(Entity("name", begin, m.end(at), HONORIFICS[m.group(1).lower()]))
-                else:
+            for part in re.finditer(r"[^ ]+", m.group(3)):
+                if not (part.group()[0].isupper() or _uncased(part.group()[0])):
                     break
+                for w in SPLIT.finditer(part.group()):  # each piece of a hyphenated or apostrophed name by itself, so all have surrogates
+                    begin = m.start(3) + part.start()
+                    found.append(Entity("name", begin + w.start(), begin + w.end(), HONORIFICS[m.group(1).lower()]))
     genders = {text[e.start : e.end].lower(): e.gender for e in reversed(found) if e.kind == "name"}
     if genders or not GIVEN_SPELLINGS.isdisjoint(WORD.findall(text)):
         for m in WORD.finditer(text):
             word = m.group()
             low = word.lower()
-            if word[0].isupper() and (low in genders or low in GENDER_OF):
+            if (word[0].isupper() or _uncased(word[0])) and (low in genders or low in GENDER_OF):
                 found.append(Entity("name", *m.span(), genders[low] if low in genders else GENDER_OF[low][0]))
     rank = {k: i for i, (k, _) in enumerate(PATTERNS)}
     out: list[Entity] = []
@@ -247,6 +255,20 @@ class Surrogates:
             if _private(now) == _private(value) and now != value:
                 return ".".join(str(now >> 8 * (3 - i) & 255) for i in range(4))
 
+    def _ip6(self, text: str, _: str) -> str:
+        """Every group by itself becomes another of as many hexadecimal digits; colons stay."""
+        digits = "0123456789abcdef"
+
+        def group(m: re.Match) -> str:
+            was = m.group()
+            value, size = int(was, 16), 16 ** len(was)
+            now = self.permutation(value, size, b"ip6" + bytes([len(was)]))
+            new = "".join(digits[now // 16**k % 16] for k in reversed(range(len(was))))
+            return new.upper() if was.upper() == was and was.lower() != was else new
+
+        new = re.sub(r"[0-9A-Fa-f]+", group, text)
+        return new if new.lower() != text.lower() else self._ip6(text[:-1] + digits[(int(text[-1], 16) + 1) % 16], _)
+
     def _name(self, text: str, gender: str) -> str:
         low = text.lower()
         if low in GENDER_OF:
