@@ -33,7 +33,7 @@ MIN_EQUAL = 0.75
 LEAST_WORDS = 5
 BLOCK_WORDS = 400_000
 #: Words of documents that are hashed at a time.
-CHUNK_WORDS = 1 << 20
+CHUNK_WORDS = 1 << 18
 
 
 class PlainWords(WordHashes):

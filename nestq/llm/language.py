@@ -28,7 +28,7 @@ SAMPLE_BYTES, SAMPLE_PIECE = 400_000, 2000
 MIN_SEEN = 6
 UNDETERMINED = "und"
 #: Text is walked in pieces of this many bytes; each begins ORDER bytes early, which makes the pieces exact.
-PIECE, BATCH_BYTES = 512, 4 << 20
+PIECE, BATCH_BYTES = 512, 2 << 20
 TEMPERATURE = 0.05
 
 

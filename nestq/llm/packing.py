@@ -29,11 +29,11 @@ SENTENCE_CUT, WORD_CUT = 8.0, 40.0
 #: The programme runs over about this many tokens at a time; what its last, open window holds goes on to the next run.
 BLOCK_TOKENS = 1 << 18
 #: Distinct pieces whose ids a task remembers (some 250 bytes each).
-REMEMBERED = 400_000
+REMEMBERED = 250_000
 #: Bits of a remembered id that say more of its piece than the id.
 ENDS, BREAKS = 1 << 31, 1 << 30
 #: Characters of texts that are encoded together.
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 18
 #: Shortest sequence that is left unpadded on purpose (a power of two).
 LEAST_UNPADDED = 128
 TOKENIZER = "byte_bpe_50k.json"
