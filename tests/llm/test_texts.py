@@ -355,3 +355,39 @@ def test_phones_without_separators():
     for phone in ("+15551234567", "5551234567", "555-1234", "+4915112345678"):
         new, told = surrogates.Surrogates(b"k").replace(f"call {phone}.")
         assert [k for k, *_ in told] == ["phone"] and phone not in new and re.sub("[0-9]", "0", new) == re.sub("[0-9]", "0", f"call {phone}.")
+
+
+def test_surrogates_leave_no_name():
+    """Names of every form behind an honorific, and IPv6 addresses, are gone everywhere; parts keep their places and distinct ones stay distinct."""
+    names = ["Jean-Pierre Dupont", "O'Brien", "J. Smith", "李明", "محمد علي", "ÅÅ", "Müller-Lüdenscheidt", "Wei Zhang", "Анна Петрова"]
+    s, seen = surrogates.Surrogates(), {}
+    for name in names:
+        old = f"Then Dr. {name} came, and {name.split()[-1]} left by fe80::1ff:fe23:4567:890a."
+        text, told = s.replace(old)
+        assert "fe80::1ff" not in text and {k for k, *_ in told} == {"name", "ip6"}
+        covered = {at for k, a, b, _ in told for at in range(a, b)}
+        for word in re.findall(r"[^\W\d_]{2,}", name):
+            assert all(set(range(*m.span())) <= covered for m in re.finditer(word, old)), (name, text)
+        for k, a, b, new in told:
+            if k == "name":
+                assert seen.setdefault(old[a:b].lower(), new.lower()) == new.lower() and new.lower() != old[a:b].lower()
+    assert len(set(seen.values())) == len(seen)
+    assert s.replace("at 10:20:30 std::vector a::b")[1] == []
+
+
+def test_a_language_of_long_texts_is_learned(spark):
+    german = " ".join(["der schnelle braune fuchs springt über den faulen hund und läuft davon"] * 1500)
+    english = "the quick brown fox jumps over the lazy dog and runs away from it"
+    labelled = spark.createDataFrame([(german + str(k), "de") for k in range(3)] + [(f"{english} {k}", "en") for k in range(200)], "text string, lang string")
+    docs = spark.createDataFrame([(1, "der hund läuft über den braunen fuchs", "x"), (1, "the lazy dog runs", "x")], "doc_id long, text string, lang_pred string")
+    assert sorted(r["lang_pred"] for r in language.identify(docs, labelled).collect()) == ["de", "en"]
+
+
+def test_pipeline_keeps_texts_that_share_an_id(spark, data):
+    import corpus_pipeline
+
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, one), (1, two), (2, one), (3, "c d"), (3, "c d"), (None, one), (4, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = sorted((str(r["doc_id"]), r["text"] or "") for r in corpus_pipeline.ngram_join(spark, docs, data).collect())
+    assert left == sorted([("1", one), ("1", two), ("3", "c d"), ("None", one), ("4", "")])
