@@ -37,7 +37,7 @@ FILTER_BITS = 1 << 25
 #: Bits of a set's parities (a multiple of 64).
 PARITIES = 256
 #: Pivots of a token in a round; rounds go on while more than this share of the pairs they try are links.
-PIVOTS, PROGRESS = 16, 0.1
+PIVOTS, PROGRESS = 96, 0.25
 
 
 def shingles(text: str | None, known: WordHashes, n: int = SHINGLE) -> np.ndarray:
