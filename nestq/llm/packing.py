@@ -9,14 +9,16 @@ of possible cuts.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,21 +30,15 @@ END_ID = 0
 SENTENCE_CUT, WORD_CUT = 8.0, 40.0
 #: The programme runs over about this many tokens at a time; what its last, open window holds goes on to the next run.
 BLOCK_TOKENS = 1 << 18
-#: Distinct pieces whose ids a task remembers (some 250 bytes each).
-REMEMBERED = 250_000
-#: Bits of a remembered id that say more of its piece than the id.
-ENDS, BREAKS = 1 << 31, 1 << 30
-#: Characters of texts that are encoded together.
-CHUNK_CHARS = 1 << 18
+#: Bytes without a change between white space and anything else from which a text goes to the plain tokenizer, whose time does not grow with the square of a word's length.
+LONG_RUN = 2000
 #: Shortest sequence that is left unpadded on purpose (a power of two).
 LEAST_UNPADDED = 128
 TOKENIZER = "byte_bpe_50k.json"
-#: Unicode's White_Space characters.
-WHITE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
-#: White space and the run of letters and digits, or of other characters, behind it. Between such runs there is always the end of a
-#: pre-token of the vocabulary, but for apostrophes, so runs at an apostrophe or an underscore stay whole up to the next white space.
-PIECES = re.compile(rf"[{WHITE}]*+(?:[^\W_]++(?!')|[^\w'{WHITE}]++(?![_'])|[^{WHITE}]++)|[{WHITE}]++")
-SENTENCE_END = re.compile(r"[.!?…。！？]['\"»”’)\]]*$")
+#: The pattern by which a byte-level vocabulary splits texts into pre-tokens.
+PRE_TOKENS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+#: In UTF-8: a closing mark and whatever quotes and brackets close behind it. White space must follow, but after marks of Chinese and Japanese.
+CLOSING = re.compile("(?:[.]|!|[?]|…|。|！|？)(?:'|\"|[)]|]|»|”|’)*".encode())
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, padded_length long"
 _ARROW = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
@@ -57,78 +53,97 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-class PieceEncoder:
-    """Ids of whole texts. Equal pieces are encoded once and remembered, up to a bound."""
+def merge_ranks(tokenizer: dict) -> dict[bytes, int] | None:
+    """The tokens (bytes) of a byte-level vocabulary file and their ids, if merging the neighbours whose union has the least id does what its merges do; else None.
+
+    It does if each merge makes a token of its own, later ones greater ids, all greater than
+    those of the parts, and if each token is what its own bytes are encoded as: as long as no merge crosses the ends of a stretch, the stretch
+    is merged as it is alone, so where two neighbours make up a token they are that token's merge.
+    """
+    model, pre, added = tokenizer["model"], tokenizer["pre_tokenizer"] or {}, tokenizer["added_tokens"]
+    odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+    if model["type"] != "BPE" or any(model.get(name) for name in odd) or any(tokenizer[name] for name in ("normalizer", "truncation", "padding")):
+        return None
+    if pre.get("type") != "ByteLevel" or pre["add_prefix_space"] or not pre.get("use_regex", True):
+        return None
+    if len(added) > 1 or any(t[name] for t in added for name in ("lstrip", "rstrip", "single_word", "normalized")):
+        return None
+    vocabulary = {token: i for token, i in model["vocab"].items() if token not in {t["content"] for t in added}}
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]  # bytes that stand for themselves; the others follow from 256 on
+    byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    last = max(vocabulary.get(c, len(vocabulary)) for c in byte_of)
+    pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    if len(vocabulary) != len(byte_of) + len(pairs):
+        return None
+    for left, right in pairs:
+        made = vocabulary.get(left + right, -1)
+        if made <= max(last, vocabulary.get(left, made), vocabulary.get(right, made)):
+            return None
+        last = made
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    alone = Tokenizer.from_str(json.dumps(tokenizer | {"pre_tokenizer": None, "post_processor": None, "added_tokens": []}))
+    encoded = alone.encode_batch_fast(list(vocabulary), add_special_tokens=False)
+    if any(e.ids != [i] for e, i in zip(encoded, vocabulary.values(), strict=True)):
+        return None
+    return {bytes(map(byte_of.__getitem__, token)): i for token, i in vocabulary.items()}
+
+
+class TextEncoder:
+    """Ids of whole texts as the tokenizer of a vocabulary file has them, special tokens found, none added.
+
+    Where ``merge_ranks`` allows it, they come from the same vocabulary by the faster merging of ranks.
+    """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.t = Tokenizer.from_file(path)
-        self.special = _special(self.t)
-        self._forget()
-
-    def _forget(self) -> None:
-        """``known``: the ids of a piece as bytes, with ENDS on the last where a sentence ends behind it, and BREAKS on the first where one ends before (a line break)."""
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, pieces: list[str]) -> None:
-        encoded = [e.ids for e in self.t.encode_batch_fast(pieces, add_special_tokens=False)]
-        for ids, piece in zip(encoded, pieces, strict=True):
-            if SENTENCE_END.search(piece):
-                ids[-1] |= ENDS
-            if "\n" in piece:
-                ids[0] |= BREAKS
-        size = np.fromiter(map(len, encoded), np.int64, len(encoded))
-        raw = np.fromiter(chain.from_iterable(encoded), "<u4", int(size.sum())).tobytes()
-        ends = (np.cumsum(size) * 4).tolist()
-        self.known.update(zip(pieces, map(raw.__getitem__, map(slice, [0, *ends], ends)), strict=True))
-
-    def __call__(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Per text: its ids, and the positions after which a sentence ends."""
-        if len(self.known) > REMEMBERED:
-            self._forget()
-        split: list[list[str]] = []
-        for text in texts:
-            if self.special and self.special.search(text):
-                pieces = []
-                for k, part in enumerate(self.special.split(text)):  # every second part is a special token
-                    pieces += [part] if k % 2 else PIECES.findall(part)
-                split.append(pieces)
-            else:
-                split.append(PIECES.findall(text))
-        known = self.known
-        if unknown := list(set(chain.from_iterable(split)).difference(known)):
-            self._learn(unknown)
-        raws = [b"".join(map(known.__getitem__, pieces)) for pieces in split]
-        told = np.frombuffer(b"".join(raws), "<u4")
-        cut = np.zeros(len(told) + 1, bool)
-        cut[1:] = told & ENDS
-        cut[:-1] |= (told & BREAKS).astype(bool)
-        ids, b = told & (BREAKS - 1), 0
-        for raw in raws:
-            a, b = b, b + len(raw) // 4
-            yield ids[a:b], np.flatnonzero(cut[a + 1 : b + 1]) + 1
-
-
-def _special(tokenizer) -> re.Pattern | None:
-    """What finds the added tokens of a vocabulary, which are cut out of a text before anything else."""
-    added = [t for t in tokenizer.get_added_tokens_decoder().values() if t.content]
-    if any(t.lstrip or t.rstrip or t.single_word for t in added):
-        raise ValueError("added tokens that take in white space, or whole words only, are not supported")
-    return re.compile("(" + "|".join(re.escape(t.content) for t in sorted(added, key=lambda t: -len(t.content))) + ")") if added else None
-
-
-def in_chunks(texts: list[str], most: int = CHUNK_CHARS) -> Iterator[list[str]]:
-    chunk, held = [], 0
-    for t in texts:
-        chunk.append(t)
-        held += len(t)
-        if held >= most:
-            yield chunk
-            chunk, held = [], 0
-    if chunk:
-        yield chunk
+        self.path, self.plain, self.fast = path, None, None
+        with open(path, encoding="utf-8") as f:
+            told = json.load(f)
+        ranks = merge_ranks(told)
+        if ranks is None:
+            self._tokenizer()
+        else:
+            special = {t["content"]: t["id"] for t in told["added_tokens"]}
+            self.fast = tiktoken.Encoding("ranks", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens=special)
+            size = np.zeros(max([*ranks.values(), *special.values()]) + 1, np.int64)
+            for token, i in [*ranks.items(), *((t.encode(), i) for t, i in special.items())]:
+                size[i] = len(token)
+            self.size = size
+
+    def _tokenizer(self):
+        if self.plain is None:
+            from tokenizers import Tokenizer
+
+            self.plain = Tokenizer.from_file(self.path)
+        return self.plain
+
+    def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids, and the numbers of ids after which a sentence ends."""
+        raw = np.frombuffer(text.encode(), np.uint8)
+        if not len(raw):
+            return np.zeros(0, "<u4"), np.zeros(0, np.int64)
+        white = raw <= 32
+        runs = np.flatnonzero(white[1:] != white[:-1])
+        if self.fast is not None and np.diff(runs, prepend=-1, append=len(raw) - 1).max() < LONG_RUN:
+            ids = self.fast.encode_to_numpy(text, allowed_special="all")
+            ends = np.cumsum(self.size[ids])
+        else:
+            found = self._tokenizer().encode(text, add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            chars = np.cumsum((raw & 0xC0) != 0x80)  # characters begun up to each byte
+            ends = np.searchsorted(chars, np.array([b for _, b in found.offsets]), "right")
+            ends[:-1][ends[:-1] == ends[1:]] = 0  # only the last id of a character ends with it
+        spans = np.array([m.span() for m in CLOSING.finditer(raw.tobytes())], np.int64).reshape(-1, 2)
+        stop = np.append(raw == 10, False)  # a line break also ends what is before it
+        stop[spans[:, 1][np.append(white, False)[spans[:, 1]] | (raw[spans[:, 0]] > 0xE2)]] = True
+        return ids.astype("<u4", copy=False), np.flatnonzero(stop[ends]) + 1
+
+
+@lru_cache(maxsize=1)
+def encoder(path: str) -> TextEncoder:
+    """The encoder of a worker; what it holds does not grow with the texts."""
+    return TextEncoder(path)
 
 
 def unpadded_sources(at: np.ndarray, window: int) -> dict[int, list[int]]:
@@ -261,7 +276,7 @@ def pack(documents: DataFrame, tokenizer: str = TOKENIZER, window: int = WINDOW,
     ready(documents.sparkSession)
 
     def run(batches):
-        encode = PieceEncoder(tokenizer_path(tokenizer))  # the task's own: a worker that serves other tasks later holds nothing of it
+        encode = encoder(tokenizer_path(tokenizer))
         packer = Packer(TaskContext.get().partitionId() << 40, window)
         rows: list[tuple] = []
 
@@ -269,9 +284,8 @@ def pack(documents: DataFrame, tokenizer: str = TOKENIZER, window: int = WINDOW,
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=_ARROW)
 
         for b in batches:
-            texts = [x or "" for x in b.column(1).to_pylist()]
-            encoded = (x for chunk in in_chunks(texts) for x in encode(chunk))
-            for doc_id, (ids, ends) in zip(b.column(0).to_pylist(), encoded, strict=True):
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                ids, ends = encode(text.as_py() or "")
                 rows += packer.add(doc_id, np.append(ids, np.uint32(END_ID)).astype("<u4"), ends)
                 if len(rows) >= 10_000:
                     yield out()

@@ -168,15 +168,38 @@ def test_cuts_are_optimal():
         assert at == ends[-1] and paid == pytest.approx(best[ends[-1]])
 
 
-def test_pieces_equal_whole_texts():
+def test_ids_are_those_of_the_tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.tokenizer_path())
-    encode, rng = packing.PieceEncoder(packing.tokenizer_path()), random.Random(3)
+    encode, rng = packing.encoder(packing.tokenizer_path()), random.Random(3)
+    assert encode.fast is not None
     parts = [*"ab'_ .,\n\t1é!-中½", "'s", "don't", "<|endoftext|>", "  ", " \n ", "\x1c", "́", " "]
     texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(3000)]
-    for text, (ids, _) in zip(texts, encode(texts), strict=True):
-        assert ids.tolist() == t.encode(text, add_special_tokens=False).ids, text
+    texts += ["x" * 5000, " " * 5000 + "a", "字" * 3000 + "。", "a <|endoftext|> b" + "<|endoftext|>" * 2, ""]
+    texts += ["".join(f"a{chr(c)}a1{chr(c)}1 {chr(c)} {chr(c)}{chr(c)}." for c in range(a, a + 64) if not 0xD800 <= c < 0xE000) for a in range(0, 0x30000, 64)]
+    for text in texts:
+        assert encode(text)[0].tolist() == t.encode(text, add_special_tokens=False).ids, text
+
+
+def test_sentence_ends():
+    encode = packing.encoder(packing.tokenizer_path())
+    for text, parts in [('One. "Two!" three 3.14\nFour', ["One.", ' "Two!"', " three 3.14", "\nFour"]), ("一。二", ["一。", "二"]), ("É “x.” y " + "z" * 4000 + "! w", ["É “x.”", " y " + "z" * 4000 + "!", " w"])]:
+        ids, ends = encode(text)
+        cuts = [0, *ends.tolist(), len(ids)]
+        assert [encode.fast.decode(ids[a:b].tolist()) for a, b in zip(cuts, cuts[1:], strict=False) if a < b] == parts
+
+
+def test_vocabularies_that_ranks_cannot_stand_for():
+    import json
+
+    with open(packing.tokenizer_path(), encoding="utf-8") as f:
+        told = json.load(f)
+    assert packing.merge_ranks(told) is not None
+    model = told["model"]
+    swapped = model | {"merges": [*model["merges"][:-2], *model["merges"][:-3:-1]]}
+    for other in [told | {"model": swapped}, told | {"model": model | {"ignore_merges": True}}, told | {"pre_tokenizer": None}, told | {"normalizer": {"type": "NFC"}}]:
+        assert packing.merge_ranks(other) is None
 
 
 def test_language(spark, data):
