@@ -149,6 +149,16 @@ def test_pack_is_a_partition_of_all_ids(spark, data):
     assert packing.pack(docs.limit(0)).count() == 0
 
 
+def test_pack_repeated_rows_null_ids_and_further_columns(spark):
+    rows = [(1, "one two. three", 5), (1, "one two. three", 5), (1, "other", 6), (None, "no id", 7), (None, None, 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, start int").coalesce(1)
+    got = packing.pack(docs).toPandas()
+    encode = packing.encoder(packing.tokenizer_path())
+    want = sorted((-1 if d is None else d, len(encode(t or "")[0]) + 1) for d, t, _ in rows)
+    assert sorted(zip(got.doc_id.fillna(-1).astype(int), got.doc_tokens, strict=True)) == want
+    assert got.length.sum() == sum(n for _, n in want) and "start" in got and len(got.columns) == 8
+
+
 def test_cuts_are_optimal():
     rng = random.Random(1)
     for _ in range(200):
