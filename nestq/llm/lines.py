@@ -99,6 +99,14 @@ def _common_prefix(a: Column, b: Column) -> Column:
     return F.aggregate(steps, F.lit(0), longer)
 
 
+def _unlike(pairs: DataFrame, a: str, b: str) -> DataFrame:
+    """``pairs`` with two of its string columns cut to what lies between their common beginning and, in what is left, their common end; their edit distance stays the same."""
+    x, y, same = F.col(a), F.col(b), F.col("__same")
+    rest = pairs.withColumn("__same", _common_prefix(x, y)).withColumns({c: F.substring(F.col(c), same + 1, F.length(c)) for c in (a, b)})
+    ends = rest.withColumn("__same", _common_prefix(F.reverse(x), F.reverse(y)))
+    return ends.withColumns({c: F.substring(F.col(c), F.lit(1), F.length(c) - same) for c in (a, b)}).drop("__same")
+
+
 def _band(a: Column, b: Column, most: int) -> Column:
     """The masks r0 .. r<most> after all characters of ``a``: bit ``d + most`` of rk says that ``a`` becomes the first ``len(a) + d`` characters of ``b`` with k edits or fewer.
 
@@ -231,12 +239,14 @@ def near_lines(docs: DataFrame) -> tuple[Kept, Kept]:
     pairs = Kept(spark, met.distinct(), "line_pairs")
     plain = texts.df.select("key", "line")
     both = pairs.df.join(plain.toDF("a", "la"), "a").join(plain.toDF("b", "lb"), "b")
-    # a pair costs far more than its bytes tell, so pairs are dealt by number
+    # A pair costs far more than its bytes tell, so pairs are dealt by number. The table between keeps the optimizer from moving verification before that, into the join.
     both = both.repartition(max(1, min(100_000, pairs.df.count() // PAIRS_A_TASK)), "a", "b")
+    both = both.withColumn("allowed", allowed_edits(F.least(F.length("la"), F.length("lb"))))
+    dealt = Kept(spark, _unlike(both, "la", "lb"), "line_pair_texts")
     la, lb = F.col("la"), F.col("lb")
-    near = both.withColumn("begin", _common_prefix(la, lb)).where(still_possible(la, lb, F.col("begin")))
-    links = Kept(spark, near.where(within_edits(la, lb, MAX_EDITS, F.col("begin"), allowed_edits(F.least(F.length(la), F.length(lb))))).select("a", "b"), "line_links")
-    for k in (meeting, known, pairs, wanted, texts):
+    near = dealt.df.where(still_possible(la, lb, F.lit(0)) & within_edits(la, lb, MAX_EDITS, allowed=F.col("allowed")))
+    links = Kept(spark, near.select("a", "b"), "line_links")
+    for k in (meeting, known, pairs, dealt, wanted, texts):
         k.forget()
     return distinct, links
 

@@ -161,6 +161,10 @@ def test_edit_distance(spark):
     for r in df.select("a", "b", lines.within_edits(a, b).alias("w"), lines.within_edits(a, b, 2, p).alias("v"), lines.still_possible(a, b, p).alias("s")).collect():
         near = edits(r["a"], r["b"]) <= 2
         assert (r["w"], r["v"]) == (near, near) and (r["s"] or not near), r
+    cut = lines._unlike(df.select(F.col("a").alias("of"), F.col("b").alias("to"), "a", "b"), "a", "b")
+    for r in cut.withColumns({"w": lines.within_edits(a, b), "s": lines.still_possible(a, b, F.lit(0))}).collect():
+        near = edits(r["of"], r["to"]) <= 2
+        assert (r["w"] and r["s"]) == near and len(r["a"]) <= len(r["of"]) and edits(r["a"], r["b"]) == edits(r["of"], r["to"]), r
 
 
 def line_oracle(docs):
