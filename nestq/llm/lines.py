@@ -174,7 +174,8 @@ def _letter_counts(line: Column, group: int) -> Column:
     """How often each character of a group occurs, up to 127, a byte each."""
     out = F.lit(0).cast("long")
     for k, c in enumerate(COUNTED[group]):
-        out = out.bitwiseOR(F.shiftleft(F.least(F.size(F.split(line, f"[{c}]")) - 1, F.lit(127)).cast("long"), 8 * k))
+        found = F.octet_length(line) - F.octet_length(F.replace(line, F.lit(c), F.lit("")))  # these characters have one byte each
+        out = out.bitwiseOR(F.shiftleft(F.least(found, F.lit(127)).cast("long"), 8 * k))
     return out
 
 
