@@ -88,13 +88,14 @@ def probe_keys() -> Column:
 
 
 def _common_prefix(a: Column, b: Column) -> Column:
-    """Characters (up to 4095) that two strings begin with in common, by binary search."""
+    """How many characters two strings begin with in common, by binary search; more steps where the shorter has 4096 characters or more."""
     most = F.least(F.length(a), F.length(b))
-    steps = F.array(*[F.lit(1 << k) for k in reversed(range(12))])
+    few, all_of_them = (F.array(*[F.lit(1 << k) for k in reversed(range(bits))]) for bits in (12, 31))
+    steps = F.when(most >= 1 << 12, all_of_them).otherwise(few)
 
     def longer(p: Column, step: Column) -> Column:
         same = F.substring(a, p + 1, step) == F.substring(b, p + 1, step)
-        return F.when((p + step <= most) & same, p + step).otherwise(p)
+        return F.when((step <= most - p) & same, p + step).otherwise(p)
 
     return F.aggregate(steps, F.lit(0), longer)
 

@@ -167,6 +167,19 @@ def test_edit_distance(spark):
         assert (r["w"] and r["s"]) == near and len(r["a"]) <= len(r["of"]) and edits(r["a"], r["b"]) == edits(r["of"], r["to"]), r
 
 
+def test_common_beginnings_and_ends_of_long_lines(spark):
+    """Near lines of any length are verified over what lies between their edits only."""
+    rng = random.Random(8)
+    long = "".join(rng.choices("abcdefgh é", k=70_000))
+    cases = [(long, long[:k] + "z" + long[k + 1 :], 1, 1) for k in (0, 4094, 4095, 4096, 69_999)]
+    cases += [(long, long[:9000] + "zz" + long[9000:], 0, 2), (long, long, 0, 0), (long[:4096], long, 0, 70_000 - 4096), ("", long, 0, 70_000)]
+    df = spark.createDataFrame([(i, a, b) for i, (a, b, _, _) in enumerate(cases)], "i int, a string, b string")
+    cut = lines._unlike(df, "a", "b").withColumn("w", lines.within_edits(F.col("a"), F.col("b")))
+    for r in cut.collect():
+        _, _, x, y = cases[r["i"]]
+        assert (len(r["a"]), len(r["b"]), r["w"]) == (x, y, y <= 2), r["i"]
+
+
 def line_oracle(docs):
     places = [((d, i), line) for d, t in docs.items() if d is not None and t is not None for i, line in enumerate(t.split("\n")) if len(line) >= lines.MIN_CHARS]
     by = {p: k for k, (p, _) in enumerate(sorted(places))}
