@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -72,6 +73,30 @@ def forget(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Collect the driver's garbage and return what its JVM and this process have freed to the machine.
+
+    Broadcasts and plans of ended queries stay with the driver until its garbage is collected. Memory that its compiler, codecs and network
+    have freed stays in the many arenas of the C library, and adds up from query to query, until these are trimmed; a JVM that has no such command is left as it is.
+    """
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    jvm.System.gc()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+    try:
+        named = jvm.java.lang.Class.forName
+        kinds, values = gateway.new_array(jvm.java.lang.Class, 4), gateway.new_array(jvm.java.lang.Object, 4)
+        for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+            kinds[i] = named(kind)
+        values[0], values[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        # the server's own class is closed to reflection, its interface is not
+        named("javax.management.MBeanServer").getMethod("invoke", kinds).invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), values)
+    except Exception:  # noqa: BLE001  by Java's kind and version
+        pass
+
+
 #: Whether Spark deletes the shuffle files of a query as soon as it has ended.
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
@@ -86,7 +111,7 @@ class Kept:
         self.spark, self.path = spark, scratch(spark, label)
         with settings(spark, {CLEAN_UP: "true"}):
             df.write.parquet(self.path)
-        spark.sparkContext._jvm.System.gc()  # broadcasts and plans of ended queries stay with the driver until its garbage is collected
+        give_back(spark)
         self.df = spark.read.schema(df.schema).parquet(self.path)
 
     def forget(self) -> None:

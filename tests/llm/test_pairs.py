@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nestq.llm import embeddings, jaccard, lines
-from nestq.llm.common import components
+from nestq.llm.common import components, cut
 
 
 def roots(nodes, links):
@@ -45,6 +45,30 @@ def test_components(spark):
     assert components(df.limit(0)).df.count() == 0
 
 
+def test_tables_give_back_memory(spark):
+    """What the driver's JVM has freed outside its heap goes back to the machine when a table is written, for queries of many tables."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    resident = f"/proc/{jvm.java.lang.ProcessHandle.current().pid()}/statm"
+
+    def mb():
+        jvm.System.gc()
+        with open(resident) as f:
+            return int(f.read().split()[1]) * 4096 / 1e6
+
+    data, out = (gateway.new_array(jvm.byte, 100_000) for _ in range(2))
+    before, held = mb(), [jvm.java.util.zip.Deflater() for _ in range(1000)]
+    for x in held:
+        x.setInput(data)
+        x.deflate(out)
+    for i, x in enumerate(held):
+        if i % 50:  # the others stand between what is freed and the end of the memory
+            x.end()
+    freed = mb()
+    assert freed - before > 200
+    cut(spark.range(1))
+    assert mb() < freed - 100
+
+
 def shingle_set(text):
     w = (text or "").encode().lower().split()
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else ({tuple(w)} if w else set())
