@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -188,11 +189,6 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
-def words(text: str | None) -> list[bytes]:
-    """Runs of anything but ASCII white space, A-Z lower-cased."""
-    return text.encode("utf-8", "surrogatepass").lower().split() if text else []
-
-
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection on 64-bit values that spreads every bit."""
     x = x ^ (x >> np.uint64(33))
@@ -205,3 +201,46 @@ def mixed(x: np.ndarray) -> np.ndarray:
 def odd_constants(n: int, seed: int) -> np.ndarray:
     """n odd 64-bit multipliers."""
     return np.array([xxhash.xxh3_64_intdigest(b"multiplier", seed * 1000 + i) | 1 for i in range(n)], np.uint64)
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out, factor = np.ones(1, np.uint64), base
+    while len(out) < n:
+        out, factor = np.concatenate([out, out * np.uint64(factor)]), factor * factor % (1 << 64)
+    return out[:n]
+
+
+#: ASCII white space, as a pattern and as flags of bytes.
+BLANK = re.compile(rb"[\x20\x09-\x0D]")
+IS_BLANK = bytes(bool(BLANK.match(bytes([i]))) for i in range(256))
+#: Bytes of a text that are looked at together, and from what length on a word is hashed by itself.
+HASHED, LONG_WORD = 1 << 16, 256
+#: A value for each byte, A-Z as a-z; powers of an odd number and of its inverse.
+BYTE_VALUES = np.array([xxhash.xxh3_64_intdigest(bytes([i]).lower(), 78) for i in range(256)], np.uint64)
+POWERS, INVERSE_POWERS = (_powers(x, HASHED + LONG_WORD + 1) for x in (0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)))
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    """64-bit hashes of a text's words, in order: runs of anything but ASCII white space, A-Z lower-cased.
+
+    A word's hash is a polynomial in its bytes' values, a difference of prefix sums that is moved back to the word's beginning, so all words are hashed at once.
+    """
+    out = [np.empty(0, np.uint64)]
+    for at in range(0, len(text), HASHED):  # each time the words that begin in these bytes
+        before, piece = text[at - 1 : at] or b" ", text[at : at + HASHED + LONG_WORD + 1]
+        blank = np.frombuffer((before + piece + b" ").translate(IS_BLANK), bool)
+        edges = np.flatnonzero(blank[1:] != blank[:-1])
+        if not blank[0]:  # the end of a word that began earlier
+            edges = edges[1:]
+        begin, end = edges[::2], edges[1::2]
+        own = np.searchsorted(begin, HASHED)
+        begin, end = begin[:own], end[:own]
+        sums = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum(BYTE_VALUES.take(np.frombuffer(piece, np.uint8)) * POWERS[: len(piece)], out=sums[1:])
+        h = mixed((sums[end] - sums[begin]) * INVERSE_POWERS[begin])
+        for k in np.flatnonzero(end - begin > LONG_WORD).tolist():
+            first = at + int(begin[k])
+            last = BLANK.search(text, first)
+            h[k] = xxhash.xxh3_64_intdigest(text[first : last.start() if last else len(text)].lower(), 79)
+        out.append(h)
+    return np.concatenate(out)

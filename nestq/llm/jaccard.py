@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from nestq.llm.common import Kept, WordHashes, components, mixed, odd_constants, ready, words
+from nestq.llm.common import Kept, components, mixed, odd_constants, ready, word_hashes
 
 SHINGLE = 5
 #: Similarity as a fraction: |A n B| * DEN >= |A u B| * NUM.
@@ -34,25 +34,28 @@ MOST_MATCHES, TOKEN_COST = 4, 4.0
 HOT = 4096
 #: Bits of the filter through which sets are fetched.
 FILTER_BITS = 1 << 25
+#: Where a posting's position and its set's size begin among the bits of ``at``.
+POS_AT, SIZE_AT = 3, 33
 #: Bits of a set's parities (a multiple of 64).
 PARITIES = 256
 #: Pivots of a token in a round; rounds go on while more than this share of the pairs they try are links.
 PIVOTS, PROGRESS = 96, 0.25
 
 
-def shingles(text: str | None, known: WordHashes, n: int = SHINGLE) -> np.ndarray:
+def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the shingles; fewer words than n are one shingle, no words none."""
-    ws = words(text)
-    if not ws:
-        return np.empty(0, np.uint64)
-    h = known.of(ws)
-    if len(ws) < n:
-        return np.array([xxhash.xxh3_64_intdigest(b" ".join(ws), 77)], np.uint64)
+    raw = text.encode("utf-8", "surrogatepass") if text else b""
+    h = word_hashes(raw)
+    if not len(h):
+        return h
+    if len(h) < n:
+        return np.array([xxhash.xxh3_64_intdigest(b" ".join(raw.lower().split()), 77)], np.uint64)
     c = odd_constants(n, 1)
     total = h[: len(h) - n + 1] * c[0]
     for k in range(1, n):
         total += h[k : len(h) - n + 1 + k] * c[k]
-    return np.unique(mixed(total))
+    found = np.sort(mixed(total))
+    return found[np.concatenate([[True], found[1:] != found[:-1]])]
 
 
 def _fingerprint(tokens: np.ndarray) -> bytes | None:
@@ -82,13 +85,13 @@ def _described(docs: DataFrame, n_cells: int = CELLS) -> Kept:
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.binary()]
 
     def run(batches):
-        known, cells = WordHashes(), np.zeros(n_cells, np.uint32)
+        cells = np.zeros(n_cells, np.uint32)
         for b in batches:
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = shingles(text, known)
+                s = shingles(text)
                 rows.append((0, doc_id, len(s), _fingerprint(s), _parities(s) if len(s) else None, None, None))
-                np.add.at(cells, (s & np.uint64(n_cells - 1)).astype(np.int64), 1)
+                cells[(s & np.uint64(n_cells - 1)).astype(np.int64)] += 1  # documents by cell: one whose tokens share a cell counts once there
             yield _batches(rows, kinds, names)
         step = n_cells // SLICES
         rows = []
@@ -103,7 +106,7 @@ def _described(docs: DataFrame, n_cells: int = CELLS) -> Kept:
 
 
 def _sketch(described: DataFrame, n_cells: int = CELLS) -> np.ndarray:
-    """The sum of all shares: a table of fixed size. Shares are summed slice by slice in two levels, in a stream."""
+    """The sum of all shares: a table of fixed size. Shares are summed slice by slice in two levels."""
 
     def add(batches):
         sums: dict[int, np.ndarray] = {}
@@ -117,14 +120,14 @@ def _sketch(described: DataFrame, n_cells: int = CELLS) -> np.ndarray:
     parts = described.where("kind = 1").select("slice", "cells", F.pmod(F.xxhash64("cells"), F.lit(64)).alias("share"))
     once = parts.repartition("slice", "share").select("slice", "cells").mapInArrow(add, "slice int, cells binary")
     step, out = n_cells // SLICES, np.zeros(n_cells, np.uint32)
-    for r in once.repartition("slice").mapInArrow(add, "slice int, cells binary").toLocalIterator():
+    for r in once.repartition("slice").mapInArrow(add, "slice int, cells binary").toArrow().to_pylist():  # one job, where an iterator would run one for each partition
         # a slice comes once: its partition is summed in one task
         out[r["slice"] * step : (r["slice"] + 1) * step] = np.frombuffer(zlib.decompress(r["cells"]), "<u4")
     return out
 
 
 def prefix(tokens: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, int, np.ndarray]:
-    """(the prefix in global order, l, counts): the prefix for l matches, l picked by estimated cost.
+    """(the prefix in global order, l, counts): the prefix of ascending tokens for l matches, l picked by estimated cost.
 
     The cost of l is TOKEN_COST for each token of its prefix, and for candidates the documents that the tokens
     beyond the l - 1 least frequent ones lead to, a 1/l share of which is taken to match l times.
@@ -134,7 +137,7 @@ def prefix(tokens: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, int, np.
     base = n - least_overlap(n) + 1
     most = min(MOST_MATCHES, least_overlap(n))
     reach = min(n, base + most - 1)
-    order = np.lexsort((tokens, count))[:reach]
+    order = np.argsort(count, kind="stable")[:reach]
     ordered = count[order].astype(np.float64)
     reached = np.cumsum(ordered)
     best, pick = None, 1
@@ -150,29 +153,35 @@ def prefix(tokens: np.ndarray, sketch: np.ndarray) -> tuple[np.ndarray, int, np.
 
 
 def _index(docs: DataFrame, sketch, bitmap, hot: int) -> DataFrame:
-    """Postings (token, salt, salts, rep, n, pos, l) of the prefixes of ``docs`` (rep, text, h) that the bitmap does not know."""
-    names = ["token", "salt", "salts", "rep", "n", "pos", "l"]
+    """Postings (key, hot, rep, at) of the prefixes of ``docs`` (rep, text, h) that the bitmap does not know.
+
+    The key is the token, or for a hot token, which then stands in ``hot``, one of its salts; ``at`` holds the set's size, the token's
+    position and l. All postings are shuffled, so they are as narrow as can be.
+    """
+    names = ["key", "hot", "rep", "at"]
 
     def run(batches):
-        known, cells = WordHashes(), sketch.value
+        cells = sketch.value
         rows: list[tuple] = []
         held = 0
 
         def out():
-            cols = [np.concatenate([r[i] for r in rows]) for i in range(len(names))]
-            return pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names)
+            key, token, plain, rep, at = (np.concatenate([r[i] for r in rows]) for i in range(5))
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(token.view(np.int64), mask=plain), pa.array(rep), pa.array(at.view(np.int64))], names)
 
         for b in batches:
             b = b.filter(pa.array(~_known_to(bitmap.value, b.column(2).to_numpy())))
             for rep, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                s = shingles(text, known)
+                s = shingles(text)
                 if not len(s):
                     continue
                 own, l, count = prefix(s, cells)
                 k = len(own)
                 salts = count.astype(np.int64) // hot + 1
                 mine = xxhash.xxh3_64_intdigest(str(rep).encode()) >> 1
-                rows.append((own.view(np.int64), (mine % salts).astype(np.int32), salts.astype(np.int32), np.full(k, rep, np.int64), np.full(k, len(s), np.int32), np.arange(k, dtype=np.int32), np.full(k, l, np.int32)))
+                salted = mixed(own ^ mixed((mine % salts + 1).astype(np.uint64)))
+                at = np.uint64(len(s) << SIZE_AT | l) | np.arange(k, dtype=np.uint64) << np.uint64(POS_AT)
+                rows.append((np.where(salts > 1, salted, own), own, salts == 1, np.full(k, rep, np.int64), at))
                 held += k
                 if held >= 50_000:
                     yield out()
@@ -181,7 +190,13 @@ def _index(docs: DataFrame, sketch, bitmap, hot: int) -> DataFrame:
         if rows:
             yield out()
 
-    return docs.mapInArrow(run, "token long, salt int, salts int, rep long, n int, pos int, l int")
+    return docs.mapInArrow(run, "key long, hot long, rep long, at long")
+
+
+def _unpacked(at) -> list:
+    """n, pos and l of what ``at`` holds."""
+    pos = F.shiftrightunsigned(at, POS_AT).bitwiseAND(F.lit((1 << SIZE_AT - POS_AT) - 1))
+    return [F.shiftrightunsigned(at, SIZE_AT).cast("int").alias("n"), pos.cast("int").alias("pos"), at.bitwiseAND(F.lit((1 << POS_AT) - 1)).cast("int").alias("l")]
 
 
 def _could(x: str, y: str):
@@ -207,8 +222,8 @@ def _filter_of(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     rows = ids.select((at / wide).cast("int").alias("line"), F.shiftright((at % wide).cast("int"), 6).alias("word"), (at % 64).cast("int").alias("bit"))
     masks = rows.groupBy("line", "word").agg(F.bit_or(F.expr("shiftleft(1L, bit)")).alias("mask"))
     out = np.zeros(bits // 64, np.int64)
-    for r in masks.toLocalIterator():
-        out[r["line"] * (wide // 64) + r["word"]] = r["mask"]
+    found = masks.toArrow()  # a row for each word of the bitmap at most
+    out[found["line"].to_numpy().astype(np.int64) * (wide // 64) + found["word"].to_numpy()] = found["mask"].to_numpy()
     return out
 
 
@@ -219,12 +234,11 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> Kept:
     hashed = docs.withColumn("h", F.pmod(F.xxhash64("rep"), F.lit(FILTER_BITS)))
 
     def run(batches):
-        known = WordHashes()
         for b in batches:
             part = b.filter(pa.array(_known_to(bitmap.value, b.column(2).to_numpy())))
             for at in range(0, part.num_rows, 256):
                 few = part.slice(at, 256)
-                raws = [shingles(t, known).tobytes() for t in few.column(1).to_pylist()]
+                raws = [shingles(t).tobytes() for t in few.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([few.column(0), pa.array(raws, pa.binary())], ["rep", "set"])
 
     sets = hashed.select("rep", "text", "h").mapInArrow(run, "rep long, set binary")
@@ -262,12 +276,13 @@ def similar_documents(documents: DataFrame, id_column: str = "doc_id", text_colu
     spark = ready(documents.sparkSession)
     docs = documents.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
     described = _described(docs, n_cells)
-    rows = described.df.where("kind = 0").select("doc_id", F.col("n").cast("int").alias("n"), "fp", "parity")
+    sketch = spark.sparkContext.broadcast(_sketch(described.df, n_cells))
+    rows = Kept(spark, described.df.where("kind = 0").select("doc_id", F.col("n").cast("int").alias("n"), "fp", "parity"), "rows").df
+    described.forget()
     whole = rows.where("doc_id is not null and fp is not null")
     classes = Kept(spark, whole.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("size")).where("size > 1"), "classes")
     copies = Kept(spark, whole.join(classes.df, "fp").where("doc_id <> rep").select("doc_id", "rep", "fp").distinct(), "copies")
 
-    sketch = spark.sparkContext.broadcast(_sketch(described.df, n_cells))
     texts = docs.where("doc_id is not null").toDF("rep", "text")
     postings = _postings(texts, copies.df.select(F.col("doc_id").alias("rep"), "fp"), sketch, hot)
     nodes = whole.select(F.col("doc_id").alias("rep"), "n", *[F.get("parity", F.lit(k)).alias(f"p{k}") for k in range(PARITIES // 64)]).distinct()
@@ -291,18 +306,18 @@ def _postings(texts: DataFrame, copies: DataFrame, sketch, hot: int) -> Kept:
     maybe = hashed.mapInArrow(_bitmap_hits(bitmap), "rep long, text string, h long, fp binary")
     unsure = maybe.join(copies, ["rep", "fp"], "left_anti").select("rep", "text", F.lit(-1).cast("long").alias("h"))
     index = _index(hashed.unionByName(unsure), sketch, bitmap, hot)
-    same = Window.partitionBy("token", "salt")
-    pivot = F.min(F.struct(F.xxhash64("rep").alias("h"), "rep", "n", "pos", "l"))
-    met = index.withColumn("size", F.count(F.lit(1)).over(same)).withColumn("p", pivot.over(same))
-    return Kept(spark, met.where("size > 1 or salts > 1").drop("size", "salts", "salt"), "postings")
+    # columns alone: an expression over the window would be made before the shuffle and go through it
+    same = Window.partitionBy("key").orderBy("rep").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    met = index.select("*", F.count(F.lit(1)).over(same).alias("size"), F.first("rep").over(same).alias("p_rep"), F.first("at").over(same).alias("p_at"))
+    pivot = F.struct(F.col("p_rep").alias("rep"), *_unpacked(F.col("p_at"))).alias("p")
+    return Kept(spark, met.where("size > 1 or hot is not null").select(F.coalesce("hot", "key").alias("token"), "rep", *_unpacked(F.col("at")), pivot), "postings")
 
 
 def _bitmap_hits(bitmap):
     def run(batches):
-        known = WordHashes()
         for b in batches:
             hit = b.filter(pa.array(_known_to(bitmap.value, b.column(2).to_numpy())))
-            fps = [_fingerprint(shingles(t, known)) for t in hit.column(1).to_pylist()]
+            fps = [_fingerprint(shingles(t)) for t in hit.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([*hit.columns, pa.array(fps, pa.binary())], [*hit.schema.names, "fp"])
 
     return run

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from nestq.llm import embeddings, jaccard, lines
-from nestq.llm.common import components, cut
+from nestq.llm.common import HASHED, LONG_WORD, components, cut, word_hashes
 
 
 def roots(nodes, links):
@@ -119,6 +119,43 @@ def test_jaccard_hot_group(spark):
     assert jaccard.similar_documents(df.limit(0)).collect() == []
 
 
+def test_word_hashes():
+    """A word has one hash wherever it stands, across the pieces in which a text is hashed; different words have different ones."""
+    rng = random.Random(3)
+    words = ["a", "aa", "ab", "ba", "aaa", "\u00e9t\u00e9", "\ud800", "x" * LONG_WORD, "x" * (LONG_WORD + 1), "y" * LONG_WORD, "z" * (HASHED + 9), *(f"w{i}" for i in range(3000))]
+    known = {}
+    for fill in (0, 1, HASHED - 3, HASHED - LONG_WORD, HASHED, 2 * HASHED - 1):
+        text = "f" * fill + rng.choice([" ", "\t\n "]) + " ".join(rng.choice([w, w.upper()]) if w.isascii() else w for w in rng.choices(words, k=9000)) + rng.choice(["", " \r"])
+        split = text.encode("utf-8", "surrogatepass").lower().split()
+        found = word_hashes(text.encode("utf-8", "surrogatepass")).tolist()
+        assert len(found) == len(split)
+        assert all(known.setdefault(w, h) == h for w, h in zip(split, found, strict=True))
+    assert len(set(known.values())) == len(known)
+    assert len(word_hashes(b"")) == len(word_hashes(b" \x0b\n")) == 0
+
+
+def test_jaccard_shuffles_and_jobs(spark):
+    """Postings go through the shuffle as four numbers, and a bitmap is fetched in one job whatever the number of partitions."""
+    names = spark._jvm.scala.jdk.javaapi.CollectionConverters
+    store = spark.sparkContext._jsc.sc().statusStore()
+    sql = spark._jsparkSession.sharedState().statusStore()
+    seen = sql.executionsCount()
+    df = spark.createDataFrame([(i, " ".join(f"w{i % 7}x{k}" for k in range(30))) for i in range(40)], "doc_id long, text string")
+    assert len(jaccard.similar_documents(df, n_cells=1 << 10).collect()) == 40
+    plans = [e.physicalPlanDescription() for e in names.asJava(sql.executionsList()) if e.executionId() >= seen]
+    windows = [p for p in plans if "Window" in p]
+    assert windows and not any("_w0" in line for p in windows for line in p.splitlines() if "Exchange" in line or "Input" in line)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        before = len(list(names.asJava(store.jobsList(None))))
+        bits = jaccard._filter_of(spark.range(100).toDF("rep").repartition(30), 1 << 16)
+        jobs = len(list(names.asJava(store.jobsList(None)))) - before
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert 90 <= sum(int(x).bit_count() for x in bits.view(np.uint64)) <= 100
+    assert jobs <= 3
+
+
 def test_prefixes_meet():
     """Any two similar sets share as many tokens of their prefixes as the smaller l asks for."""
     rng = random.Random(5)
